@@ -1,0 +1,26 @@
+"""The N best items of every group.
+
+Two stages: rows are hashed over all partitions by their whole ranking key, so that each partition holds an even hash
+subgroup of every group whatever the group's size; each subgroup keeps its N best; the survivors, at most N for each
+subgroup, meet in one partition per group and are ranked again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def top_n(rows: DataFrame, group: Column, item: Column, order: list[tuple[Column, bool]], n: int) -> DataFrame:
+    """group_key, item_id, rank of the n best items of each group. order: (column, descending), most important first; the item
+    decides what is still even, so that ranks are the same in every run. Strings compare by their UTF-8 bytes.
+
+    Items that come several times with the same ordering count once. Nulls in group form a group; nulls in order rank
+    last. Groups of fewer than n items come out whole, an empty input gives no rows, other columns are ignored."""
+    keys = [c.alias(f"o{k}") for k, (c, _) in enumerate(order)]
+    # the distinct combines on the map side, so floods of copies never travel, and its exchange makes the hash subgroups
+    once = rows.select(group.alias("group_key"), item.alias("item_id"), *keys).distinct()
+    by = [F.col(f"o{k}").desc_nulls_last() if down else F.col(f"o{k}").asc_nulls_last() for k, (_, down) in enumerate(order)]
+    rank = F.row_number().over(Window.partitionBy("group_key").orderBy(*by, F.col("item_id").asc_nulls_last()))
+    # the filter on row_number is pushed below the second exchange as a limit per group and subgroup
+    return once.withColumn("rank", rank).filter(F.col("rank") <= n).select("group_key", "item_id", "rank")
