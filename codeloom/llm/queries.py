@@ -1,4 +1,57 @@
 """Queries of the text operators, with their SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm import grammar, packing, tokenizer
+from codeloom.session import table, written
+
+CAPACITY = 2048
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.parse_files(table(spark, d, "source_files"), F.col("file_id"), F.col("repo"), F.col("module_key.id"), F.col("source"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).filter(F.col("verdict").isin("wrong_extension", "corrupt")).select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.col("verdict").isin("wrong_extension", "corrupt").cast("bigint")
+    claimed = _parsed(spark, d).filter(F.col("claimed").isNotNull() & (F.col("verdict") != "no_source"))
+    return claimed.groupBy("repo", F.col("claimed").alias("language")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(bad).alias("n_invalid"), (F.sum(bad) / F.count(F.lit(1))).alias("invalid_rate")
+    )
+
+
+def p3_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("file_id", "claimed", "verdict", "parses_as")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encode_corpus(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose decoded ids are their text, and those that are not (none)."""
+    docs = table(spark, d, "documents")
+    back = tokenizer.decode_corpus(tokenizer.encode_corpus(docs, F.col("doc_id"), F.col("text"))).select("doc_id", F.xxhash64("text").alias("got"))
+    want = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("want"))
+    return want.join(back, "doc_id", "full_outer").groupBy((F.col("want").eqNullSafe(F.col("got"))).alias("equal")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(tokenizer.count_tokens(table(spark, d, "documents"), F.col("doc_id"), F.col("text")), CAPACITY)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by how full they are, in steps of a sixteenth; 16 is full."""
+    fill = p7_pack(spark, d).groupBy("container_id").agg(F.sum("length").alias("tokens"))
+    return fill.groupBy(F.floor(F.col("tokens") * 16 / CAPACITY).cast("int").alias("sixteenth")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("tokens").alias("n_tokens"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_verdicts": p3_verdicts, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_pack": p7_pack, "p7_fill": p7_fill}
+ORACLES = {"p6_roundtrip": "SELECT true AS equal, count(*) AS n_documents FROM documents"}
