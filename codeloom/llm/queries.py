@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import grammar, packing, tokenizer
-from codeloom.session import table, written
+from codeloom.llm import grammar, packing, quality, tokenizer
+from codeloom.session import table
 
 CAPACITY = 2048
 
@@ -53,5 +53,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill.groupBy(F.floor(F.col("tokens") * 16 / CAPACITY).cast("int").alias("sixteenth")).agg(F.count(F.lit(1)).alias("n_containers"), F.sum("tokens").alias("n_tokens"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_verdicts": p3_verdicts, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_pack": p7_pack, "p7_fill": p7_fill}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored_documents(*(table(spark, d, t) for t in ("documents", "doc_labels", "common_words")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(_scored(spark, d)).select("doc_id").distinct()
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_verdicts": p3_verdicts, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
 ORACLES = {"p6_roundtrip": "SELECT true AS equal, count(*) AS n_documents FROM documents"}
