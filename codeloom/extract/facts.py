@@ -50,15 +50,13 @@ def definitions(tree: ast.Module) -> Iterator[tuple]:
                 yield scope, s.name, TYPE if isinstance(s, ast.ClassDef) else FUNCTION, line
                 yield from walk(s.body, f"{scope}.{s.name}" if scope else s.name)
             elif isinstance(s, ast.stmt):
-                blocks = [c for c in ast.iter_child_nodes(s) if isinstance(c, (ast.stmt, ast.ExceptHandler, ast.match_case))]
-                flow = scopes.Scoper(strip_imports=True).stmt(s)
-                inner = set()
-                for b in blocks:
-                    inner |= scopes.Scoper(strip_imports=True).group(b.body if not isinstance(b, ast.stmt) else [b]).defs
-                for x in sorted(flow.defs - inner):
+                for x in sorted(scopes.bound(s)):
                     yield scope, x, ASSIGNMENT, line
-                for b in blocks:
-                    yield from walk([b] if isinstance(b, ast.stmt) else b.body, scope)
+                for c in ast.iter_child_nodes(s):
+                    if isinstance(c, ast.stmt):
+                        yield from walk([c], scope)
+                    elif isinstance(c, (ast.ExceptHandler, ast.match_case)):
+                        yield from walk(c.body, scope)
 
     yield from walk(tree.body, "")
 
@@ -111,8 +109,7 @@ def references(tree: ast.Module) -> Iterator[tuple]:
     outwards (class bodies are not seen from their methods), then the builtins; resolved is null for unknown names."""
 
     def own(node: ast.AST) -> set[str]:
-        flow = scopes.Scoper().group(getattr(node, "body", []))
-        mine = set(flow.defs)
+        mine = scopes.defined(getattr(node, "body", []))
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
             mine |= {p.arg for p in scopes.parameters(node.args)}
         return mine

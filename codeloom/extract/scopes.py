@@ -61,11 +61,12 @@ class Scoper:
 
     def __init__(self, strip_imports: bool = False):
         self.strip_imports = strip_imports
+        self.named: list[str] = []  # names bound by := in what was read of the current block
 
     # --- expressions
 
     def expr(self, node: ast.AST | None) -> Uses:
-        if node is None:
+        if node is None or isinstance(node, ast.Constant):
             return {}
         if isinstance(node, ast.Name):
             return {node.id: {_RAW}}
@@ -77,8 +78,9 @@ class Scoper:
         if isinstance(node, ast.Subscript):
             return merge(self._on(node.value, Use("subscript")), self.expr(node.slice))
         if isinstance(node, ast.Lambda):
-            a = node.args
+            a, before = node.args, len(self.named)
             body = less(self.expr(node.body), (p.arg for p in parameters(a)))
+            del self.named[before:]
             return merge(body, *map(self.expr, [*a.defaults, *(d for d in a.kw_defaults if d)]))
         if isinstance(node, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
             bound = set().union(*(targets(g.target) for g in node.generators))
@@ -87,19 +89,13 @@ class Scoper:
                 inner += [g.iter, *g.ifs]
             return less(merge(*map(self.expr, inner)), bound)
         if isinstance(node, ast.NamedExpr):
+            self.named.append(node.target.id)
             return self.expr(node.value)
         return merge(*map(self.expr, ast.iter_child_nodes(node)))
 
     def _on(self, base: ast.AST, use: Use) -> Uses:
         return {base.id: {use}} if isinstance(base, ast.Name) else self.expr(base)
 
-    def walrus(self, node: ast.AST | None) -> set[str]:
-        """Names bound by := in an expression, outside of lambdas."""
-        if node is None or isinstance(node, (ast.Lambda, ast.stmt)):
-            return set()
-        own = {node.target.id} if isinstance(node, ast.NamedExpr) else set()
-        return own.union(*(self.walrus(c) for c in ast.iter_child_nodes(node)))
-
     # --- statements
 
     def group(self, body: Iterable[ast.stmt]) -> Flow:
@@ -108,15 +104,15 @@ class Scoper:
         return Flow(less(merge(*(p.uses for p in parts)), defs), defs)
 
     def stmt(self, s: ast.stmt) -> Flow:
+        before = len(self.named)
         made = getattr(self, f"_{type(s).__name__.lower()}", None)
         if made:
             f = made(s)
         else:  # an expression, return, raise, assert, delete or the like
             f = Flow(merge(*map(self.expr, ast.iter_child_nodes(s))))
         if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            for c in ast.iter_child_nodes(s):
-                if isinstance(c, ast.expr):
-                    f.defs |= self.walrus(c)
+            f.defs.update(self.named[before:])
+        del self.named[before:]
         return f
 
     def _assign(self, s):
@@ -166,7 +162,7 @@ class Scoper:
     def _match(self, s):
         flow = Flow(self.expr(s.subject))
         for c in s.cases:
-            bound = {n.name for n in ast.walk(c.pattern) if isinstance(n, (ast.MatchAs, ast.MatchStar)) and n.name} | {n.rest for n in ast.walk(c.pattern) if isinstance(n, ast.MatchMapping) and n.rest}
+            bound = captures(c.pattern)
             inner = self.group(c.body)
             flow.uses = merge(flow.uses, less(merge(inner.uses, self.expr(c.guard), self.expr(c.pattern)), bound))
             flow.defs |= bound | inner.defs
@@ -202,6 +198,38 @@ class Scoper:
     _nonlocal = _pass = _break = _continue = _global
 
 
+def bound(s: ast.stmt) -> set[str]:
+    """Names a statement itself assigns, without those of the blocks in it; imports, functions and classes assign none here."""
+    if isinstance(s, (ast.Import, ast.ImportFrom, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        return set()
+    if isinstance(s, ast.Assign):
+        names = set().union(*map(targets, s.targets))
+    elif isinstance(s, (ast.AugAssign, ast.AnnAssign, ast.For, ast.AsyncFor)):
+        names = targets(s.target)
+    elif isinstance(s, ast.TypeAlias):
+        names = targets(s.name)
+    elif isinstance(s, (ast.With, ast.AsyncWith)):
+        names = set().union(*(targets(i.optional_vars) for i in s.items))
+    elif isinstance(s, ast.Match):
+        names = set().union(*(captures(c.pattern) for c in s.cases))
+    else:
+        names = set()
+    return names.union(*(_walrus(c) for c in ast.iter_child_nodes(s) if isinstance(c, ast.expr)))
+
+
+def captures(pattern: ast.pattern) -> set[str]:
+    found = list(ast.walk(pattern))
+    return {n.name for n in found if isinstance(n, (ast.MatchAs, ast.MatchStar)) and n.name} | {n.rest for n in found if isinstance(n, ast.MatchMapping) and n.rest}
+
+
+def _walrus(node: ast.AST | None) -> set[str]:
+    """Names bound by := in an expression, outside of lambdas."""
+    if node is None or isinstance(node, (ast.Lambda, ast.stmt)):
+        return set()
+    own = {node.target.id} if isinstance(node, ast.NamedExpr) else set()
+    return own.union(*(_walrus(c) for c in ast.iter_child_nodes(node)))
+
+
 def _is_function(s: ast.AST) -> bool:
     return isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))
 
@@ -216,7 +244,26 @@ def exports(tree: ast.Module) -> set[str]:
     for s in tree.body:
         if isinstance(s, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in s.targets) and isinstance(s.value, (ast.List, ast.Tuple)):
             return {e.value for e in s.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)}
-    return {d for d in Scoper().group(tree.body).defs if not d.startswith("_") and d != "*"}
+    return {d for d in defined(tree.body) if not d.startswith("_") and d != "*"}
+
+
+def defined(body: Iterable[ast.stmt]) -> set[str]:
+    """The names a block defines: Scoper.group(body).defs, found without looking at uses."""
+    out: set[str] = set()
+    for s in body:
+        if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            out.add(s.name)
+        elif isinstance(s, ast.Import):
+            out.update(a.asname or a.name.split(".")[0] for a in s.names)
+        elif isinstance(s, ast.ImportFrom):
+            out.update(a.asname or a.name for a in s.names)
+        else:
+            out |= bound(s)
+            for part in ("body", "orelse", "finalbody"):
+                out |= defined(getattr(s, part, ()))
+            for h in (*getattr(s, "handlers", ()), *getattr(s, "cases", ())):
+                out |= defined(h.body)
+    return out
 
 
 def closures(tree: ast.Module) -> Iterator[tuple[str, str]]:
@@ -231,7 +278,7 @@ def closures(tree: ast.Module) -> Iterator[tuple[str, str]]:
                     own = {p.arg for p in parameters(s.args)}
                     for x in sorted(set(less(scoper.group(s.body).uses, own)) & around):
                         yield full, x
-                mine = {p.arg for p in parameters(s.args)} | scoper.group(s.body).defs
+                mine = {p.arg for p in parameters(s.args)} | defined(s.body)
                 yield from walk(s.body, full, around | mine, True)
             elif isinstance(s, ast.ClassDef):
                 yield from walk(s.body, f"{name}.{s.name}" if name else s.name, around, inside)

@@ -57,12 +57,20 @@ def shorten_path(path: Column) -> Column:
     return F.when(F.size(parts) == 1, path).otherwise(F.concat(F.array_join(short, "/"), F.lit("/"), F.element_at(parts, -1)))
 
 
+def beginnings(path: Column) -> Column:
+    """The path up to each of its components: '/a/b' gives '', '/a' and '/a/b'."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def distance_between(a: Column, b: Column) -> Column:
+    """file_distance of two paths given by their beginnings, which cost more than this and can be made before a join."""
+    return F.greatest(F.size(a), F.size(b)) - F.size(F.array_intersect(a, b))
+
+
 def file_distance(a: Column, b: Column) -> Column:
     """Components left on the longer path once the common beginning of both is taken away."""
-    x, y = F.split(a, "/"), F.split(b, "/")
-    n = F.least(F.size(x), F.size(y))
-    common = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.slice(x, 1, i) == F.slice(y, 1, i)))
-    return F.greatest(F.size(x), F.size(y)) - common
+    return distance_between(beginnings(a), beginnings(b))
 
 
 def join_names(*names: Column) -> Column:

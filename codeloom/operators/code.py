@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql.types import StructType
 from codeloom.extract import evaluate, facts, parsing, scopes
 from codeloom.functions import paths
 from codeloom.operators.orphans import normal_path
-from codeloom.session import ship
+from codeloom.session import ship, written
 
 NODES = (
     "file_id bigint, node_id int, parent_id int, depth int, kind string, name string, complete_name string, scope_id int, is_expr boolean, "
@@ -79,7 +80,43 @@ def _of_tree(fn: Callable) -> Callable[[str], Iterator[tuple]]:
 def python_files(sources: DataFrame, file_id: Column, path: Column, source: Column) -> DataFrame:
     """file_id, path, source of the Python files, each once."""
     rows = sources.select(file_id.alias("file_id"), path.alias("path"), source.alias("source"))
-    return rows.filter(paths.is_python_file(F.lower("path")) & F.col("source").isNotNull()).dropDuplicates(["file_id"])
+    once = rows.filter(paths.is_python_file(F.lower("path")) & F.col("source").isNotNull()).dropDuplicates(["file_id"])
+    # parsing costs far more than moving the sources, so they are dealt out evenly however few bytes they are
+    return once.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+@dataclass(frozen=True)
+class Facts:
+    """Definitions, imports, uses and exports of a set of files, from one parse of each."""
+
+    definitions: DataFrame
+    imports: DataFrame
+    uses: DataFrame
+    exports: DataFrame
+
+
+def _every(source: str) -> Iterator[tuple]:
+    tree = parsing.parse_tolerant(source)[0]
+    for n, make in enumerate((facts.definitions, facts.imports, facts.uses)):
+        row = [None] * 4
+        for r in make(tree):
+            row[n] = dict(zip(_FIELDS[n], r, strict=True))
+            yield _FACTS[n], *row
+    for x in sorted(scopes.exports(tree)):
+        yield _FACTS[3], None, None, None, x
+
+
+_FACTS = ("definition", "import", "use", "export")
+_PARTS = [x.removeprefix("file_id bigint, ") for x in (DEFINITIONS, IMPORTS, USES)]
+_FIELDS = [[c.split()[0] for c in p.split(", ")] for p in _PARTS]
+
+
+def extract(files: DataFrame) -> Facts:
+    """The facts are written once, a folder for each kind."""
+    structs = ", ".join(f"{n} struct<{', '.join(':'.join(c.split()) for c in p.split(', '))}>" for n, p in zip(("d", "i", "u"), _PARTS, strict=True))
+    rows = written(_facts(files, _every, f"file_id bigint, fact string, {structs}, symbol string"), "code-facts", "fact")
+    of = lambda kind, *cols: rows.filter(F.col("fact") == kind).select("file_id", *cols)
+    return Facts(of("definition", "d.*"), of("import", "i.*"), of("use", "u.*"), of("export", "symbol"))
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ EDIT = "struct<kind:string,line:int,col:int,end_line:int,end_col:int,text:string
 RESULT = f"file_id bigint, path string, new_source string, edits array<{EDIT}>, error string"
 
 
-def index_of_files(files: DataFrame, location: str = "") -> DataFrame:
-    """Entries of the index for what files define at their top level, and for the modules themselves. location is taken off the
-    front of paths where module names are made. Adds members, the names a symbol has."""
+def index_of_files(files: DataFrame, facts: code.Facts | None = None) -> DataFrame:
+    """Entries of the index for what files define at their top level, and for the modules themselves. Adds members,
+    the names a symbol has. facts: those of the files, if they are at hand."""
     key = F.struct(F.lit(3).alias("module_source_type"), F.col("path").alias("id")).alias("module_key")
-    defs = code.definitions(files)
+    defs = facts.definitions if facts else code.definitions(files)
     top = defs.filter("scope = ''").groupBy("file_id", "name").agg(F.min_by("symbol_type", "lineno").alias("symbol_type"))
     of_class = defs.filter("scope <> '' AND NOT contains(scope, '.')").groupBy("file_id", F.col("scope").alias("name")).agg(F.collect_set("name").alias("members"))
     own = top.join(of_class, ["file_id", "name"], "left")
@@ -59,10 +59,15 @@ def choose_imports(missing: DataFrame, files: DataFrame, index: DataFrame) -> Da
     c = ways.select("symbol", "contexts").distinct().join(index.withColumnRenamed("file_id", "target_id").withColumnRenamed("symbol_name", "symbol"), "symbol")
     fits = c.filter(symbols.matches_context(F.col("symbol_type"), F.col("contexts"), F.col("members"))).select("symbol", "contexts", "import_count", "imported", "is_module_itself", "module_key")
     best = fits.withColumn("k", F.rank().over(Window.partitionBy("symbol", "contexts").orderBy(*symbols.preference()))).filter("k = 1").drop("k")
-    m = ways.join(files.select("file_id", "path"), "file_id").join(best, ["symbol", "contexts"]).filter(F.col("path") != F.col("module_key.id"))
-    far = symbols.module_distance(F.col("module_key.module_source_type"), F.col("module_key.id"), paths.directory(F.col("path")))
-    ranked = m.withColumn("distance", far).select("file_id", "symbol", "import_count", "imported", "is_module_itself", "distance", "module_key")
-    return symbols.best_candidates(ranked, ["file_id", "symbol"], [*symbols.preference(), F.asc("distance")])
+    is_file = F.col("module_key.module_source_type").isin(1, 3)
+    there = best.withColumn("there", F.when(is_file, paths.beginnings(F.col("module_key.id"))))
+    here = ways.join(files.select("file_id", "path", paths.beginnings(paths.directory(F.col("path"))).alias("here")), "file_id")
+    far = F.coalesce(paths.distance_between(F.col("there"), F.col("here")), F.lit(paths.NO_FILE_DISTANCE))
+    m = here.join(there, ["symbol", "contexts"]).filter(F.col("path") != F.col("module_key.id")).withColumn("distance", far)
+    # how many candidates are at each distance, then the nearest: two aggregates, the first of which shrinks the join where it is made
+    at = m.groupBy("file_id", "symbol", "distance").agg(F.count(F.lit(1)).alias("n_best"), F.min(F.struct("module_key", "is_module_itself")).alias("w"))
+    near = at.groupBy("file_id", "symbol").agg(F.min(F.struct("distance", "n_best", "w")).alias("b")).select("file_id", "symbol", "b.*")
+    return near.select("file_id", "symbol", "n_best", (F.col("n_best") > 1).alias("ambiguous"), F.when(F.col("n_best") == 1, F.col("w")).alias("winner"))
 
 
 def module_name(target: str, source_type: int, from_path: str, location: str) -> str:
@@ -135,13 +140,11 @@ def apply_imports(files: DataFrame, chosen: DataFrame, unused: DataFrame, locati
     return rows.mapInArrow(_fix(location), RESULT)
 
 
-def fix_files(files: DataFrame, index: DataFrame, project: DataFrame | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
+def fix_files(files: DataFrame, index: DataFrame, facts: code.Facts | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
     """The whole way for files (file_id, path, source): what is missing, which entries of the index give it, the new sources."""
-    known = files if project is None else project
-    found_uses, found_imports = code.uses(files), code.imports(files)
-    resolved = code.resolved_imports(found_imports, known.select("file_id", "path").unionByName(files.select("file_id", "path")).distinct() if project is not None else files)
-    gaps = code.missing_symbols(found_uses, resolved, code.exports(known))
-    unused = code.unused_imports(found_imports, found_uses)
+    facts = facts or code.extract(files)
+    gaps = code.missing_symbols(facts.uses, code.resolved_imports(facts.imports, files), facts.exports)
+    unused = code.unused_imports(facts.imports, facts.uses)
     return apply_imports(files, choose_imports(gaps, files, index), unused if remove_unused else unused.limit(0), location)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import code, fixing, terms
-from codeloom.session import table, written
+from codeloom.session import table
 from codeloom.sources import files as source_files
 
 
@@ -57,12 +57,13 @@ def code_imports(spark, d):
 
 def code_missing_symbols(spark, d):
     f = _rooted(spark, d)
-    return code.missing_symbols(code.uses(f), code.resolved_imports(code.imports(f), f), code.exports(f)).select("file_id", "symbol", F.size("contexts").alias("n_contexts"))
+    x = code.extract(f)
+    return code.missing_symbols(x.uses, code.resolved_imports(x.imports, f), x.exports).select("file_id", "symbol", F.size("contexts").alias("n_contexts"))
 
 
 def code_unused_imports(spark, d):
-    f = _files(spark, d)
-    return code.unused_imports(code.imports(f), code.uses(f)).select("file_id", "kind", "module", "value", "bound")
+    x = code.extract(_files(spark, d))
+    return code.unused_imports(x.imports, x.uses).select("file_id", "kind", "module", "value", "bound")
 
 
 def code_contexts(spark, d):
@@ -111,18 +112,19 @@ def code_statistics(spark, d):
 
 def _index(spark, d):
     f = _rooted(spark, d)
-    return f, fixing.with_import_counts(fixing.index_of_files(f), code.resolved_imports(code.imports(f), f))
+    x = code.extract(f)
+    return f, x, fixing.with_import_counts(fixing.index_of_files(f, x), code.resolved_imports(x.imports, f))
 
 
 def code_index(spark, d):
-    _, index = _index(spark, d)
+    _, _, index = _index(spark, d)
     return index.select("symbol_name", F.col("module_key.id").alias("module_id"), "is_module_itself", "symbol_type", "import_count")
 
 
 def code_fix_imports(spark, d):
     """Missing names of every file against the index of all of them: new sources and their number of edits."""
-    f, index = _index(spark, d)
-    return fixing.fix_files(f.drop("root"), written(index, "code-index"), location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
+    f, x, index = _index(spark, d)
+    return fixing.fix_files(f, index, x, location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
 
 
 def notebook_code(spark, d):

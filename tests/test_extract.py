@@ -35,6 +35,12 @@ def test_strip_imports():
     assert set(scopes.missing(tree)) == {"q", "x"}
 
 
+@pytest.mark.parametrize("source", [s for s, _ in MISSING] + ["if a:\n    b = (c := 1)\nelif d:\n    for e in f: pass\n    else: g = 1\ntry:\n    h = 1\nexcept X as y:\n    i = 1\nelse:\n    j = 1\nfinally:\n    k = lambda: (l := 1)"])
+def test_defined_is_what_a_block_defines(source):
+    tree = ast.parse(source)
+    assert scopes.defined(tree.body) == scopes.Scoper().group(tree.body).defs
+
+
 def test_exports_and_closures():
     assert scopes.exports(ast.parse("a = 1\n_b = 2\ndef c(): d = 1\nfrom m import *")) == {"a", "c"}
     assert scopes.exports(ast.parse("__all__ = ['x', '_y']\nz = 1")) == {"x", "_y"}
