@@ -241,3 +241,21 @@ def without_kinds(tree: DataFrame, kinds: list[str]) -> DataFrame:
 def pretty(tree: DataFrame) -> DataFrame:
     """file_id, node_id, line: one indented line for each node; order by node_id to print a file."""
     return tree.select("file_id", "node_id", F.concat(F.repeat(F.lit("  "), F.col("depth")), "kind", F.when(F.col("name").isNotNull(), F.concat(F.lit(" "), "name")).otherwise(F.lit(""))).alias("line"))
+
+
+def first_of_kind(tree: DataFrame, kind: str) -> DataFrame:
+    """The first node of a kind in each file."""
+    wanted = tree.filter(F.col("kind") == kind)
+    return wanted.groupBy("file_id").agg(F.min(F.struct("node_id", "name", "lineno")).alias("n")).select("file_id", "n.*")
+
+
+def members_by_kind(found: DataFrame) -> DataFrame:
+    """file_id, scope, and how many classes, functions and assignments each scope has."""
+    n = lambda t: F.count_if(F.col("symbol_type") == t)
+    return found.groupBy("file_id", "scope").agg(n(0).alias("classes"), n(1).alias("functions"), n(2).alias("assignments"))
+
+
+def new_cells(found: DataFrame) -> DataFrame:
+    """Names of a function that functions inside it take from it or through it, without those it takes from outside itself."""
+    outer = found.select("file_id", F.regexp_replace("function", r"\.[^.]*$", "").alias("function"), "symbol").filter(F.col("function") != F.col("symbol"))
+    return outer.distinct().join(found.select("file_id", "function", "symbol"), ["file_id", "function", "symbol"], "left_anti")

@@ -127,3 +127,25 @@ def route_to_location(paths_df: DataFrame, locations: DataFrame) -> DataFrame:
     up = paths_df.select("path").distinct().withColumn("location", F.explode(paths.ancestors(F.col("path"))))
     best = up.join(locations.select("location").distinct(), "location").groupBy("path").agg(F.max(F.struct(F.length("location").alias("n"), "location")).alias("b"))
     return paths_df.select("path").distinct().join(best, "path", "left").select("path", F.col("b.location").alias("location"))
+
+
+def stub_of(modules: DataFrame, stubs: DataFrame) -> DataFrame:
+    """modules (with module_name) and stub_path: the stub of the lowest version that is not of the second language version alone;
+    null where there is none."""
+    best = stubs.filter("version <> '2'").groupBy("module_name").agg(F.min(F.struct("version", "path")).alias("b")).select("module_name", F.col("b.path").alias("stub_path"))
+    return modules.join(best, "module_name", "left")
+
+
+def location_of(modules: DataFrame, locations: DataFrame) -> DataFrame:
+    """module_key, location: bad modules have none, builtins the one of that name, others the deepest directory above."""
+    keys = modules.select("module_key").distinct()
+    kind, ident = F.col("module_key.module_source_type"), F.col("module_key.id")
+    routed = route_to_location(keys.filter(kind.isin(1, 3)).select(ident.alias("path")), locations).withColumnRenamed("path", "id")
+    found = keys.withColumn("id", ident).join(routed, "id", "left")
+    return found.select("module_key", F.when(kind == 0, "builtins").when(kind != 2, F.col("location")).alias("location"))
+
+
+def already_imported(chosen: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Of chosen imports (file_id, symbol, target_id), those a file has already, by that name or by a star import of the module."""
+    has = resolved.select("file_id", "target_id", F.col("bound").alias("symbol"))
+    return chosen.join(has.filter("symbol <> '*'"), ["file_id", "target_id", "symbol"], "left_semi").unionByName(chosen.join(has.filter("symbol = '*'").drop("symbol"), ["file_id", "target_id"], "left_semi").select(*chosen.columns)).distinct()

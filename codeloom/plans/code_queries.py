@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import code, fixing, terms
+from codeloom.operators import code, fixing, incremental, terms
 from codeloom.session import table
 from codeloom.sources import files as source_files
 
@@ -127,6 +127,26 @@ def code_fix_imports(spark, d):
     return fixing.fix_files(f, index, x, location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
 
 
+def code_first_class(spark, d):
+    return code.first_of_kind(code.nodes(_files(spark, d)), "ClassDef")
+
+
+def code_members_by_kind(spark, d):
+    return code.members_by_kind(code.definitions(_files(spark, d)))
+
+
+def code_new_cells(spark, d):
+    return code.new_cells(code.closures(_files(spark, d)))
+
+
+def code_index_updated(spark, d):
+    """The index of all files, reached by building it without one repository and then adding that."""
+    f = _rooted(spark, d)
+    late = F.col("path").startswith("/srv/code/soto-biri/")
+    state = incremental.update(incremental.build(f.filter(~late)), f.filter(late), f.select("file_id").limit(0))
+    return incremental.with_counts(state).select("symbol_name", F.col("module_key.id").alias("module_id"), "is_module_itself", "symbol_type", "import_count")
+
+
 def notebook_code(spark, d):
     n = table(spark, d, "source_files").select("file_id", F.col("module_key.id").alias("path"), "source").distinct().filter("lower(path) LIKE '%.ipynb'")
     return source_files.notebook_code(n, F.col("source")).select("file_id", "code")
@@ -136,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_nodes, code_tree_lines, code_without_functions, code_top_statements, code_node_fields, code_definitions, code_public_members, code_imports, code_missing_symbols, code_unused_imports, code_contexts, code_references, code_parameters,
-        code_statements, code_closures, code_exports, code_name_counts, code_values, code_parse_failures, code_statistics, code_index, code_fix_imports, notebook_code,
+        code_statements, code_closures, code_exports, code_name_counts, code_values, code_parse_failures, code_statistics, code_index, code_fix_imports, code_first_class, code_members_by_kind, code_new_cells, code_index_updated, notebook_code,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import paths
 from codeloom.operators import symbols
 from codeloom.session import table
 
@@ -94,6 +95,20 @@ def index_deep_equals(spark, d):
     return same.select(F.lit("same").alias("pair"), "n").unionByName(other.select(F.lit("imported only").alias("pair"), "n"))
 
 
+def module_locations(spark, d):
+    m = table(spark, d, "modules")
+    return _flat(symbols.location_of(m, m.select("location").filter("location LIKE '/%'")))
+
+
+def stub_lookup(spark, d):
+    """Every module with the stub of its base name, if some module is one; the kind of module stands for the version."""
+    m = table(spark, d, "modules").select("module_row_id", paths.module_basename(F.col("module_key.id")).alias("module_name")).distinct()
+    s = table(spark, d, "modules").filter("module_key.id LIKE '%.pyi'").select(
+        paths.module_basename(F.col("module_key.id")).alias("module_name"), F.col("module_key.module_source_type").cast("string").alias("version"), F.col("module_key.id").alias("path")
+    )
+    return symbols.stub_of(m, s)
+
+
 def entries_by_month(spark, d):
     """Entries per type and month with sub-totals."""
     e = table(spark, d, "symbol_entries").drop("ingested_at").distinct()
@@ -102,7 +117,7 @@ def entries_by_month(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (current_entries, symbol_lookup_alias, find_symbol, import_counts, import_counts_delta, import_counts_maintained, rank_candidates_ambiguous, rank_candidates_distance, context_match, definitions_by_symbol, index_without_modules, index_deep_equals, entries_by_month)
+    for f in (current_entries, symbol_lookup_alias, find_symbol, import_counts, import_counts_delta, import_counts_maintained, rank_candidates_ambiguous, rank_candidates_distance, context_match, definitions_by_symbol, index_without_modules, index_deep_equals, module_locations, stub_lookup, entries_by_month)
 }
 
 _E = """e AS (SELECT symbol_name, module_key.module_source_type AS module_type, module_key.id AS module_id, is_module_itself, symbol_type, coalesce(not_yet_found_in_module, false) AS not_yet_found_in_module,
@@ -139,6 +154,11 @@ ORACLES = {
         SELECT symbol_name, module_type, module_id, is_module_itself, symbol_type, not_yet_found_in_module OR coalesce(gone, false) AS not_yet_found_in_module, imported, import_count
         FROM e LEFT JOIN gone USING (module_type, module_id) WHERE NOT coalesce(gone, false) OR import_count > 0""",
     "index_deep_equals": f"WITH {_E} SELECT 'same' AS pair, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'imported only', count(*) FROM e WHERE import_count <= 0",
+    "module_locations": """WITH k AS (SELECT DISTINCT module_key.module_source_type AS module_type, module_key.id AS module_id FROM modules), l AS (SELECT DISTINCT location FROM modules WHERE location LIKE '/%')
+        SELECT module_type, module_id, CASE WHEN module_type = 0 THEN 'builtins' WHEN module_type <> 2 THEN max_by(location, length(location)) END AS location FROM k LEFT JOIN l ON starts_with(module_id, location) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY module_type, module_id"),
+    "stub_lookup": r"""WITH m AS (SELECT DISTINCT module_row_id, module_key.module_source_type AS v, module_key.id AS id, CASE WHEN regexp_matches(module_key.id, '(^|/)__init__\.pyi?$') THEN coalesce(list_extract(string_split(module_key.id, '/'), -2), '')
+        ELSE split_part(list_extract(string_split(module_key.id, '/'), -1), '.', 1) END AS module_name FROM modules), s AS (SELECT DISTINCT ON (module_name) module_name, id AS stub_path FROM m WHERE id LIKE '%.pyi' AND v <> 2 ORDER BY module_name, v, id)
+        SELECT module_row_id, module_name, stub_path FROM m LEFT JOIN s USING (module_name)""",
     "entries_by_month": """SELECT symbol_type, strftime(added_at, '%Y-%m') AS month, count(*) AS n_entries, CAST(sum(import_count) AS BIGINT) AS n_imports FROM (SELECT DISTINCT * EXCLUDE ingested_at FROM symbol_entries)
         GROUP BY ROLLUP (symbol_type, strftime(added_at, '%Y-%m'))""",
 }

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import schemas
-from codeloom.operators import code, fixing
+from codeloom.functions import udtf
+from codeloom.operators import code, fixing, incremental, symbols
 from codeloom.sources import files as source_files
 from codeloom.sources import store
 from codeloom.streaming import indexing, service
@@ -103,6 +104,38 @@ def test_edits_as_rows(spark):
     assert got[1] == ("b c!\n", None) and got[2][0] == "abc" and got[2][1] and got[3] == (None, None) and got[4] == ("x", None)
 
 
+def test_incremental_equals_rebuild(spark):
+    before = {"/p/a.py": "def f(): pass\n", "/p/b.py": "from a import f\nimport a\n", "/p/c.py": "from a import f, gone\n"}
+    after = {"/p/a.py": "def f(): pass\ndef gone(): pass\n", "/p/b.py": "import a as q\n", "/p/d.py": "from a import f\nfrom b import q\n"}
+    ids = {p: n for n, p in enumerate(sorted({*before, *after}))}
+
+    def frame(files):
+        return spark.createDataFrame([(ids[p], p, "/p", s) for p, s in files.items()], "file_id bigint, path string, root string, source string")
+
+    changed = frame(after)
+    removed = spark.createDataFrame([(ids["/p/c.py"],)], "file_id bigint")
+    got = incremental.with_counts(incremental.update(incremental.build(frame(before)), changed, removed))
+    x = code.extract(changed)
+    want = fixing.with_import_counts(fixing.index_of_files(changed, x), code.resolved_imports(x.imports, changed))
+    cols = ["symbol_name", "module_key", "is_module_itself", "symbol_type", "import_count", "file_id"]
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and want.select(cols).exceptAll(got.select(cols)).count() == 0
+    assert {(r["symbol_name"], r["import_count"]) for r in want.collect()} == {("f", 1), ("gone", 0), ("a", 1), ("b", 0), ("d", 0)}
+
+
+def test_small_ones(spark, project):
+    assert _by_path(project, code.first_of_kind(code.nodes(project), "ClassDef"), "name") == [("/p/app/shapes.py", "Circle")]
+    assert ("/p/app/shapes.py", "", 1, 1, 0) in _by_path(project, code.members_by_kind(code.definitions(project)), "scope", "classes", "functions", "assignments")
+    nested = source_files.from_strings(spark, {"/n.py": "def f(a):\n    b = 1\n    def g(c):\n        def h():\n            return a, b, c\n        return h\n    return g"})
+    assert {(r["function"], r["symbol"]) for r in code.new_cells(code.closures(nested)).collect()} == {("f", "a"), ("f", "b"), ("f.g", "c")}
+    chosen = spark.createDataFrame([(1, "f", 9), (1, "g", 9), (2, "f", 9)], "file_id bigint, symbol string, target_id bigint")
+    have = spark.createDataFrame([(1, 9, "f"), (2, 9, "*")], "file_id bigint, target_id bigint, bound string")
+    assert {(r["file_id"], r["symbol"]) for r in symbols.already_imported(chosen, have).collect()} == {(1, "f"), (2, "f")}
+    udtf.register(spark)
+    project.createOrReplaceTempView("project_files")
+    got = {tuple(r) for r in spark.sql("SELECT path, name FROM project_files, LATERAL code_definitions(source) WHERE scope = ''").collect()}
+    assert ("/p/app/shapes.py", "make") in got and ("/p/app/other.py", "Circle") in got
+
+
 # --- sources and store
 
 
