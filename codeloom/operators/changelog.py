@@ -120,8 +120,8 @@ def bare_root(root: Column) -> Column:
 
 
 def file_log(history: DataFrame) -> DataFrame:
-    """The log of file records: directories left out, roots without final slash."""
-    return history.filter(~F.col("path").endswith("/")).select("history_id", "run_id", bare_root(F.col("root_dir")).alias("root_dir"), "path", "removed", "file_timestamp")
+    """The log of file records: directories and rows without path or root left out, roots without final slash."""
+    return history.filter(F.col("root_dir").isNotNull() & ~F.col("path").endswith("/")).select("history_id", "run_id", bare_root(F.col("root_dir")).alias("root_dir"), "path", "removed", "file_timestamp")
 
 
 def file_capture(spark: SparkSession, root: str) -> ChangeCapture:
@@ -142,9 +142,10 @@ def stored_files(captured: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def changed_files(stored: DataFrame, listing: DataFrame) -> DataFrame:
-    """root_dir, path, updated: 1 for a listed file newer than stored (0 where nothing is stored), 0 for a stored file not listed."""
+    """root_dir, path, updated: 1 for a listed file newer than stored (0 where nothing is stored), 0 for a stored file not listed.
+    Of a path listed more than once the largest mtime counts, null being 0. Directories and rows without path or root are left out."""
     listed = (
-        listing.filter(~F.coalesce("is_dir", F.lit(False)) & ~F.col("path").endswith("/"))
+        listing.filter(F.col("root_dir").isNotNull() & ~F.coalesce("is_dir", F.lit(False)) & ~F.col("path").endswith("/"))
         .select(bare_root(F.col("root_dir")).alias("root_dir"), "path", F.coalesce("mtime", F.lit(0.0)).alias("mtime"))
         .groupBy("root_dir", "path")
         .agg(F.max("mtime").alias("mtime"))

@@ -24,8 +24,14 @@ def work_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; nobody else uses it."""
-    return f"{work_root(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    """A new folder name under the application's own in the shared folder; nobody else uses it."""
+    return f"{work_root(spark)}/codeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all the application has written to the shared folder; results that were not saved elsewhere cannot be read after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/codeloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

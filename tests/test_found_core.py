@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import session
 from codeloom.operators import changelog, keytotals, orphans, topn
 
 T0 = datetime(2024, 1, 1)
@@ -142,8 +143,18 @@ def test_changed_files(spark, tmp_path):
         (5, "/r", "/r/removed", 1, False, 1.0), (6, "/r//", "/r/removed", 3, True, None), (7, "/r", "/r/dir/", 1, False, 1.0), (8, "/r", "/r/gone", 3, False, 1.0), (9, "/r", "/r/unknown", 9, False, 1.0),
     ]
     listing = [("/r", "/r/same", False, 5.0), ("/r/", "/r/same", False, 4.0), ("/r", "/r/newer", None, 6.0), ("/r", "/r/fresh", False, 1.0), ("/r", "/r/never", False, None), ("/r", "/r/d", True, 9.0), ("/r2", "/r/same", False, 1.0)]
+    listing += [(None, "/r/x", False, 9.0), ("/r", None, False, 9.0)]
+    log += [(10, None, "/r/y", 1, False, 1.0), (11, "/r", None, 1, False, 1.0), (12, "/r", "/r/z", None, False, 1.0)]
     h = changelog.file_log(spark.createDataFrame(log, LOG))
     cap = changelog.file_capture(spark, f"file://{tmp_path}/files")
     cap.run(h)
     got = {tuple(x) for x in changelog.changed_files(changelog.stored_files(cap.captured(), runs), spark.createDataFrame(listing, "root_dir string, path string, is_dir boolean, mtime double")).collect()}
     assert got == {("/r", "/r/newer", 1), ("/r", "/r/fresh", 1), ("/r", "/r/gone", 0), ("/r2", "/r/same", 1)}
+
+
+def test_written_tables_are_cleaned(spark):
+    df = session.written(spark.range(3), "x")
+    assert df.count() == 3
+    session.clean(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        df.count()
