@@ -25,6 +25,8 @@ from codeloom.session import ship, written
 MAX_LABELLED = 2000
 MAX_LABELLED_CHARS = 16 << 20
 MAX_LABELLED_TEXT = 1 << 18
+#: Each kind, prose and other, needs so many labelled documents; with fewer PlainRule decides.
+MIN_LABELLED = 10
 #: Common words are a fixed table; a larger one is refused.
 MAX_COMMON = 100_000
 #: Texts are looked at in pieces of about so many characters, whole documents each.
@@ -56,20 +58,31 @@ class LineModel:
 
 
 class PlainRule:
-    """Stands in where the labels cannot teach both kinds: lines of three words or more, mostly of letters."""
+    """Stands in where the labels are too few to teach both kinds. A line is running text if it is mostly words, is no item or row of
+    a table by its marks, goes over into the next line or comes from the one before, and its document uses common words."""
 
     def running(self, x: textstats.Lines) -> np.ndarray:
         if not len(x.words):
             return np.zeros(0, bool)
-        share = x.sum_words(x.props[x.code]) / x.words[:, None]
-        w = textstats.W
-        return (x.words >= 3) & (share[:, w["alpha"]] >= 0.7) & (share[:, w["leader"]] == 0) & (share[:, w["single"]] < 0.4) & (share[:, w["vowelless"]] < 0.3)
+        w, props, n_lines = textstats.W, x.props[x.code], np.maximum(np.diff(x.doc_starts), 1)
+        share = x.sum_words(props) / x.words[:, None]
+        first, last = props[x.starts], props[x.ends - 1]
+        words = (x.words >= 2) & (share[:, w["alpha"]] >= 0.6) & (share[:, w["leader"]] == 0) & (share[:, w["single"]] < 0.4) & (share[:, w["vowelless"]] < 0.3)
+        marked = (share[:, w["repeated"]] > 0) | (first[:, w["bullet"]] > 0) | (first[:, w["punct"]] > 0)
+        capitals = (x.sum_lines(share[:, w["upper"]]) / n_lines > 0.5)[x.doc]
+        goes_on = np.append(np.where(capitals[:-1], first[1:, w["alpha"]], first[1:, w["lower"]]) > 0, False)
+        flows = np.append(x.doc[1:] == x.doc[:-1], False) & (last[:, w["terminal"]] == 0) & goes_on
+        out = words & ~marked & (flows | np.insert(flows[:-1], 0, False))
+        if x.by_lang.shape[1]:
+            of_lang = x.sum_lines(x.sum_words(x.by_lang[x.code]).max(axis=1)) / np.maximum(x.sum_lines(x.words.astype(np.float64)), 1)
+            out &= (of_lang > 0.12)[x.doc]
+        return out
 
 
 def fit_lines(texts: list[str], prose: list[bool], common: dict[str, frozenset[str]], hidden: int = 16, steps: int = 2000, batch: int = 256, rate: float = 3e-3, decay: float = 1e-3) -> LineModel | PlainRule:
     """Every line of a labelled document counts as its document's kind; documents that are one kind mostly outweigh the mixed."""
     x, good = textstats.Lines(pa.array(texts, pa.string()), common), np.array(prose, bool)
-    if not good.any() or good.all() or not len(x.words):
+    if min(good.sum(), (~good).sum()) < MIN_LABELLED or not len(x.words):
         return PlainRule()
     pair, _ = textstats.pair_codes(x)
     doc = x.doc[x.line_of_word]
