@@ -52,22 +52,40 @@ def with_import_counts(index: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def choose_imports(missing: DataFrame, files: DataFrame, index: DataFrame) -> DataFrame:
-    """file_id, symbol, ambiguous, winner for each missing name some entry could give."""
+    """file_id, symbol, ambiguous, winner for each missing name some entry could give. No module is imported into
+    itself: where it would be the best, nothing is chosen."""
     # What fits depends on the name and how it is used, not on the file: it is found once for each, and only the most preferred
     # are kept, as distance decides between those alone.
     ways = missing.withColumn("contexts", F.array_sort("contexts"))
     c = ways.select("symbol", "contexts").distinct().join(index.withColumnRenamed("file_id", "target_id").withColumnRenamed("symbol_name", "symbol"), "symbol")
     fits = c.filter(symbols.matches_context(F.col("symbol_type"), F.col("contexts"), F.col("members"))).select("symbol", "contexts", "import_count", "imported", "is_module_itself", "module_key")
     best = fits.withColumn("k", F.rank().over(Window.partitionBy("symbol", "contexts").orderBy(*symbols.preference()))).filter("k = 1").drop("k")
-    is_file = F.col("module_key.module_source_type").isin(1, 3)
-    there = best.withColumn("there", F.when(is_file, paths.beginnings(F.col("module_key.id"))))
-    here = ways.join(files.select("file_id", "path", paths.beginnings(paths.directory(F.col("path"))).alias("here")), "file_id")
-    far = F.coalesce(paths.distance_between(F.col("there"), F.col("here")), F.lit(paths.NO_FILE_DISTANCE))
-    m = here.join(there, ["symbol", "contexts"]).filter(F.col("path") != F.col("module_key.id")).withColumn("distance", far)
-    # how many candidates are at each distance, then the nearest: two aggregates, the first of which shrinks the join where it is made
-    at = m.groupBy("file_id", "symbol", "distance").agg(F.count(F.lit(1)).alias("n_best"), F.min(F.struct("module_key", "is_module_itself")).alias("w"))
+    return nearest(ways, files, best)
+
+
+#: Stands for the directory of modules that are no files, which are equally far from everywhere.
+_NOWHERE = "?"
+
+
+def nearest(ways: DataFrame, files: DataFrame, best: DataFrame) -> DataFrame:
+    """For each file and name the one candidate whose file is nearest, without meeting all pairs of files and candidates.
+
+    The distance of a candidate of length n from a folder of length m that share c components is max(n, m) - c. Candidates are
+    counted by each beginning of their path and by length; a folder looks under each of its own beginnings. Under a beginning
+    shorter than what a candidate really shares it seems farther than it is, so the smallest distance, and how many
+    candidates have it, come out right. What is joined grows with the depth of paths, not with the number of candidates."""
+    key, is_file = ["symbol", "contexts"], F.col("module_key.module_source_type").isin(1, 3)
+    parts = F.when(is_file, paths.beginnings(F.col("module_key.id"))).otherwise(F.array(F.lit(_NOWHERE)))
+    under = best.select(*key, "module_key", "is_module_itself", F.size(parts).alias("n"), F.explode(parts).alias("beginning"))
+    counted = under.groupBy(*key, "beginning", "n").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("module_key", "is_module_itself")).alias("w"))
+    here = ways.join(files.select("file_id", "path", paths.beginnings(paths.directory(F.col("path"))).alias("own")), "file_id")
+    looks = here.select("file_id", *key, F.size("own").alias("m"), F.posexplode(F.concat("own", F.array(F.lit(_NOWHERE)))).alias("pos", "beginning"))
+    far = F.when(F.col("beginning") == _NOWHERE, F.lit(paths.NO_FILE_DISTANCE)).otherwise(F.greatest("n", "m") - F.col("pos") - 1)
+    at = looks.join(counted, [*key, "beginning"]).groupBy("file_id", "symbol", far.alias("distance")).agg(F.sum("k").alias("n_best"), F.min("w").alias("w"))
     near = at.groupBy("file_id", "symbol").agg(F.min(F.struct("distance", "n_best", "w")).alias("b")).select("file_id", "symbol", "b.*")
-    return near.select("file_id", "symbol", "n_best", (F.col("n_best") > 1).alias("ambiguous"), F.when(F.col("n_best") == 1, F.col("w")).alias("winner"))
+    itself = near.join(files.select("file_id", F.col("path").alias("own_path")), "file_id")
+    one = (F.col("n_best") == 1) & (F.col("w.module_key.id") != F.col("own_path"))
+    return itself.select("file_id", "symbol", "distance", "n_best", (F.col("n_best") > 1).alias("ambiguous"), F.when(one, F.col("w")).alias("winner"))
 
 
 def module_name(target: str, source_type: int, from_path: str, location: str) -> str:

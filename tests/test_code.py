@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,30 @@ def test_small_ones(spark, project):
     assert ("/p/app/shapes.py", "make") in got and ("/p/app/other.py", "Circle") in got
 
 
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(4)
+    path = lambda: "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) + f"/{rng.choice('xyz')}.py"
+    files = {n: path() for n in range(60)}
+    candidates = sorted({(rng.choice("fg"), rng.choice([3, 3, 3, 0]), path()) for _ in range(40)})
+    ways = spark.createDataFrame([(n, s, []) for n in files for s in "fgh"], "file_id bigint, symbol string, contexts array<string>")
+    best = spark.createDataFrame([(s, [], (t, p if t else "mod" + p), False) for s, t, p in candidates], "symbol string, contexts array<string>, module_key struct<module_source_type:int,id:string>, is_module_itself boolean")
+    f = spark.createDataFrame(list(files.items()), "file_id bigint, path string")
+    got = {(r["file_id"], r["symbol"]): (r["distance"], r["n_best"], r["winner"] and r["winner"]["module_key"]["id"]) for r in fixing.nearest(ways, f, best).collect()}
+    want = {}
+    for n, p in files.items():
+        for s in "fg":
+            far = []
+            for s2, t, q in candidates:
+                if s2 == s:
+                    a, b = q.split("/"), os.path.dirname(p).split("/")
+                    c = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                    far.append((max(len(a), len(b)) - c if t else 4, q if t else "mod" + q))
+            d = min(far)[0]
+            tied = [q for x, q in far if x == d]
+            want[n, s] = (d, len(tied), tied[0] if len(tied) == 1 and tied[0] != p else None)
+    assert got == want
+
+
 # --- sources and store
 
 
