@@ -31,7 +31,7 @@ EXTENSIONS = {"py": "python", "pyi": "python", "json": "json", "ipynb": "json",
 _TOKEN = re.compile(
     r"""(?P<python>\b(?:def|class|import|from|return|self|lambda|elif|None|True|False|async|yield)\b|:[ \t]*(?:\#[^\n]*)?$)"""
     r"""|(?P<toml>^[ \t]*\[\[?[\w.\-" ]+\]\]?[ \t]*$|^[ \t]*[\w.\-]+[ \t]*=[ \t]*(?=["'\[{\d+\-]|true\b|false\b))"""
-    r"""|(?P<json>"[ \t]*:|[\]}][ \t]*,?[ \t]*$|^[ \t]*[{\[][ \t]*$|\b(?:true|false|null)\b)"""
+    r"""|(?P<json>"[ \t]*:|[\]}][ \t]*+,?+[ \t]*+$|^[ \t]*[{\[][ \t]*$|\b(?:true|false|null)\b)"""
     r"""|(?P<xml></?[A-Za-z_][\w:.\-]*|/>|<[?!])""",
     re.M,
 )

@@ -23,7 +23,7 @@ HASH_BITS = 18
 WORD = ["letters", "digits", "symbols", "alpha", "lower", "capital", "upper", "single", "numeric", "terminal", "comma", "hyphen", "bullet", "vowelless", "punct", "odd", "repeated", "leader", "common"]
 W = {name: k for k, name in enumerate(WORD)}
 _REPEATED = re.compile(r"(.{2,8}?)\1{1,}[.\-,;]?$")
-_NUMBER = re.compile(r"[\"(]?[\d½¼¾/.,:]*[\d½¼¾][\d½¼¾/.,:]*[a-z]{0,2}[.,;:)]?$")
+_NUMBER = re.compile(r"[\"(]?[\d½¼¾/.,:]++[a-z]{0,2}[.,;:)]?$")  # and a digit in it
 _ENUM = re.compile(r"\(?\d{1,3}[.)]?$")
 
 
@@ -47,7 +47,7 @@ def word_properties(w: str, common: frozenset[str]) -> list[float]:
     low = only.lower()
     return [
         letters, digits, symbols, alpha, alpha and only[:1].islower(), alpha and only[:1].isupper() and not (len(only) > 1 and only.isupper()),
-        alpha and len(only) > 1 and only.isupper(), letters == 1 and digits == 0, bool(_NUMBER.match(w)), w[-1] in ".!?" and letters > 1, w[-1] in ",;:",
+        alpha and len(only) > 1 and only.isupper(), letters == 1 and digits == 0, digits > 0 and bool(_NUMBER.match(w)), w[-1] in ".!?" and letters > 1, w[-1] in ",;:",
         letters > 0 and w.endswith(HYPHENS), w in BULLETS or bool(_ENUM.match(w)), len(low) >= 3 and alpha and not VOWELS.intersection(low), letters + digits == 0,
         odd > 0, len(only) >= 4 and bool(_REPEATED.match(w)), ".." in w or ".,." in w or w == ".", bool(core) and fold(core) in common,
     ]

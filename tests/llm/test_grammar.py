@@ -1,4 +1,5 @@
 import json
+import time
 import tomllib
 
 import pytest
@@ -46,3 +47,12 @@ def test_deep_json_takes_what_json_writes(x):
 def test_toml_version():
     assert not grammar.parses("toml", "a = {\n b = 1 }")  # 1.1 only
     assert tomllib.loads("a = 1979-05-27 07:32:00")
+
+
+@pytest.mark.parametrize("source", ["]" + " " * 300_000 + "x", '"' * 200_000, "[" + "a " * 200_000, " " * 300_000 + "=", "(" * 300_000, "<" * 200_000, "{" * 100_000, "a." * 30_000])
+def test_hostile_sources_end_soon(source):
+    began = time.monotonic()
+    grammar.rank_languages(source)
+    for language in grammar.LANGUAGES:
+        grammar.parses(language, source)
+    assert time.monotonic() - began < 20

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -75,3 +77,12 @@ def test_held_out_accuracy():
     x = textstats.Lines(pa.array(texts[120:]), COMMON)
     share = x.sum_lines(model.running(x).astype(float)) / np.diff(x.doc_starts)
     assert np.mean((share >= 0.5) == np.array(kinds[120:])) > 0.97
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000 + "#", "ab" * 200_000, "x\n" * 50_000, "." * 300_000, "a b " * 100_000, "\u2028 \x85 \x1c"])
+def test_hostile_texts_end_soon(text):
+    began = time.monotonic()
+    x = textstats.Lines(pa.array([text]), COMMON)
+    textstats.document_stats(x)
+    assert len(quality.PlainRule().running(x)) == len(textstats.line_features(x, np.zeros(1 << textstats.HASH_BITS, np.int8)))
+    assert time.monotonic() - began < 20

@@ -62,3 +62,11 @@ def test_round_trip_and_counts(spark):
     none = df.filter("doc_id < 2")
     assert [x["ids"] for x in tokenizer.encode_corpus(none, F.col("doc_id"), F.col("text")).collect()] == [[], []]
     assert packing.pack(tokenizer.count_tokens(df, F.col("doc_id"), F.col("text")), 2048).count() > len(TEXTS)
+
+
+def test_another_vocabulary(spark):
+    other = os.path.join(os.path.dirname(tokenizer.VOCABULARY), "byte_bpe_multi_50k.tiktoken")
+    enc = tokenizer.encode_corpus(_frame(spark), F.col("doc_id"), F.col("text"), other)
+    got = {x["doc_id"]: x["ids"] for x in enc.collect()}
+    assert got == {n: tokenizer.encoder(other).encode_ordinary(t or "") for n, t in enumerate(TEXTS)}
+    assert {x["doc_id"]: x["text"] for x in tokenizer.decode_corpus(enc, other).collect()} == {n: t or "" for n, t in enumerate(TEXTS)}
