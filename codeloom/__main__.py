@@ -17,8 +17,8 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.xxhash64("path").alias("file_id"), "path", "source", F.lit(root.rstrip("/")).alias("root"))
 
 
-def _index(files: DataFrame, x: code.Facts) -> DataFrame:
-    return fixing.with_import_counts(fixing.index_of_files(files, x), code.resolved_imports(x.imports, files))
+def _index(x: code.Facts) -> DataFrame:
+    return fixing.with_import_counts(fixing.index_of_files(x.files, x), code.resolved_imports(x.imports, x.files))
 
 
 def main() -> None:
@@ -41,15 +41,15 @@ def main() -> None:
         return
     x = code.extract(files)
     if a.command == "serve":
-        q = service.serve(spark.readStream.text(a.requests), _index(files, x).persist(), f"{a.out}/responses", f"{a.out}/checkpoint", once=a.once)
+        q = service.serve(spark.readStream.text(a.requests), _index(x).persist(), f"{a.out}/responses", f"{a.out}/checkpoint", once=a.once)
         q.awaitTermination()
         return
-    named = files.select("file_id", "path")
+    named = x.files.select("file_id", "path")
     out = {
-        "index": lambda: _index(files, x),
-        "missing": lambda: code.missing_symbols(x.uses, code.resolved_imports(x.imports, files), x.exports).join(named, "file_id"),
+        "index": lambda: _index(x),
+        "missing": lambda: code.missing_symbols(x.uses, code.resolved_imports(x.imports, x.files), x.exports).join(named, "file_id"),
         "exports": lambda: x.exports.join(named, "file_id"),
-        "fix": lambda: fixing.fix_files(files, _index(files, x), x, location=a.root),
+        "fix": lambda: fixing.fix_files(files, _index(x), x, location=a.root),
     }[a.command]()
     out.write.mode("overwrite").parquet(a.out)
 

@@ -87,8 +87,9 @@ def python_files(sources: DataFrame, file_id: Column, path: Column, source: Colu
 
 @dataclass(frozen=True)
 class Facts:
-    """Definitions, imports, uses and exports of a set of files, from one parse of each."""
+    """Definitions, imports, uses and exports of a set of files, from one parse of each, and the files without their sources."""
 
+    files: DataFrame  # file_id, path, root
     definitions: DataFrame
     imports: DataFrame
     uses: DataFrame
@@ -98,25 +99,38 @@ class Facts:
 def _every(source: str) -> Iterator[tuple]:
     tree = parsing.parse_tolerant(source)[0]
     for n, make in enumerate((facts.definitions, facts.imports, facts.uses)):
-        row = [None] * 4
+        row = [None] * 5
         for r in make(tree):
             row[n] = dict(zip(_FIELDS[n], r, strict=True))
             yield _FACTS[n], *row
     for x in sorted(scopes.exports(tree)):
-        yield _FACTS[3], None, None, None, x
+        yield _FACTS[3], None, None, None, x, None
 
 
-_FACTS = ("definition", "import", "use", "export")
+_FACTS = ("definition", "import", "use", "export", "file")
 _PARTS = [x.removeprefix("file_id bigint, ") for x in (DEFINITIONS, IMPORTS, USES)]
 _FIELDS = [[c.split()[0] for c in p.split(", ")] for p in _PARTS]
 
 
 def extract(files: DataFrame) -> Facts:
-    """The facts are written once, a folder for each kind."""
+    """The facts are written once, a folder for each kind. Sources are read in this pass only."""
     structs = ", ".join(f"{n} struct<{', '.join(':'.join(c.split()) for c in p.split(', '))}>" for n, p in zip(("d", "i", "u"), _PARTS, strict=True))
-    rows = written(_facts(files, _every, f"file_id bigint, fact string, {structs}, symbol string"), "code-facts", "fact")
+    schema = f"file_id bigint, fact string, {structs}, symbol string, f struct<path:string,root:string>"
+    rows_of, arrow = _rows(_every, schema), to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            where = [{"path": p, "root": r} for p, r in zip(b["path"].to_pylist(), b["root"].to_pylist(), strict=True)]
+            n = len(where)
+            cols = [b["file_id"], pa.array([_FACTS[4]] * n, pa.string()), *(pa.nulls(n, arrow.field(k).type) for k in range(2, 6)), pa.array(where, arrow.field(6).type)]
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+            yield from rows_of(iter([b.select(["file_id", "source"])]))
+
+    ship(files.sparkSession)
+    root = F.col("root") if "root" in files.columns else F.lit("")
+    rows = written(files.select("file_id", "path", root.alias("root"), "source").mapInArrow(run, schema), "code-facts", "fact")
     of = lambda kind, *cols: rows.filter(F.col("fact") == kind).select("file_id", *cols)
-    return Facts(of("definition", "d.*"), of("import", "i.*"), of("use", "u.*"), of("export", "symbol"))
+    return Facts(of("file", "f.*"), of("definition", "d.*"), of("import", "i.*"), of("use", "u.*"), of("export", "symbol"))
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -158,12 +158,13 @@ def apply_imports(files: DataFrame, chosen: DataFrame, unused: DataFrame, locati
     return rows.mapInArrow(_fix(location), RESULT)
 
 
-def fix_files(files: DataFrame, index: DataFrame, facts: code.Facts | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
-    """The whole way for files (file_id, path, source): what is missing, which entries of the index give it, the new sources."""
+def fix_files(files: DataFrame, index: DataFrame, facts: code.Facts | None = None, resolved: DataFrame | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
+    """The whole way for files (file_id, path, source): what is missing, which entries of the index give it, the new sources.
+    facts and resolved (imports): those of the files, if they are at hand."""
     facts = facts or code.extract(files)
-    gaps = code.missing_symbols(facts.uses, code.resolved_imports(facts.imports, files), facts.exports)
+    gaps = code.missing_symbols(facts.uses, code.resolved_imports(facts.imports, facts.files) if resolved is None else resolved, facts.exports)
     unused = code.unused_imports(facts.imports, facts.uses)
-    return apply_imports(files, choose_imports(gaps, files, index), unused if remove_unused else unused.limit(0), location)
+    return apply_imports(files, choose_imports(gaps, facts.files, index), unused if remove_unused else unused.limit(0), location)
 
 
 def apply_edits(texts: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def references(resolved: DataFrame) -> DataFrame:
 def build(files: DataFrame) -> IndexState:
     """The state of all files (file_id, path, root, source)."""
     x = code.extract(files)
-    refs = references(code.resolved_imports(x.imports, files))
-    return IndexState(files.select("file_id", "path", "root"), fixing.index_of_files(files, x), x.imports, refs, refs.groupBy(*TARGET).agg(F.count(F.lit(1)).alias("import_count")))
+    refs = references(code.resolved_imports(x.imports, x.files))
+    return IndexState(x.files, fixing.index_of_files(x.files, x), x.imports, refs, refs.groupBy(*TARGET).agg(F.count(F.lit(1)).alias("import_count")))
 
 
 def update(old: IndexState, changed: DataFrame, removed: DataFrame) -> IndexState:
@@ -45,9 +45,9 @@ def update(old: IndexState, changed: DataFrame, removed: DataFrame) -> IndexStat
     again for all files, as a new or lost file changes what others' imports mean; only changed files are parsed."""
     gone = changed.select("file_id").unionByName(removed.select("file_id")).distinct()
     kept = lambda df: df.join(gone, "file_id", "left_anti")
-    files = kept(old.files).unionByName(changed.select("file_id", "path", "root"))
     x = code.extract(changed)
-    entries = kept(old.entries).unionByName(fixing.index_of_files(changed, x))
+    files = kept(old.files).unionByName(x.files)
+    entries = kept(old.entries).unionByName(fixing.index_of_files(x.files, x))
     imports = kept(old.imports).unionByName(x.imports)
     refs = references(code.resolved_imports(imports, files))
     deltas = symbols.import_count_deltas(old.refs, refs, "importer", TARGET)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import code, fixing, incremental, terms
-from codeloom.session import table
+from codeloom.session import table, written
 from codeloom.sources import files as source_files
 
 
@@ -56,9 +56,8 @@ def code_imports(spark, d):
 
 
 def code_missing_symbols(spark, d):
-    f = _rooted(spark, d)
-    x = code.extract(f)
-    return code.missing_symbols(x.uses, code.resolved_imports(x.imports, f), x.exports).select("file_id", "symbol", F.size("contexts").alias("n_contexts"))
+    x = code.extract(_rooted(spark, d))
+    return code.missing_symbols(x.uses, code.resolved_imports(x.imports, x.files), x.exports).select("file_id", "symbol", F.size("contexts").alias("n_contexts"))
 
 
 def code_unused_imports(spark, d):
@@ -113,18 +112,19 @@ def code_statistics(spark, d):
 def _index(spark, d):
     f = _rooted(spark, d)
     x = code.extract(f)
-    return f, x, fixing.with_import_counts(fixing.index_of_files(f, x), code.resolved_imports(x.imports, f))
+    resolved = written(code.resolved_imports(x.imports, x.files), "resolved-imports")
+    return f, x, resolved, fixing.with_import_counts(fixing.index_of_files(x.files, x), resolved)
 
 
 def code_index(spark, d):
-    _, _, index = _index(spark, d)
+    index = _index(spark, d)[-1]
     return index.select("symbol_name", F.col("module_key.id").alias("module_id"), "is_module_itself", "symbol_type", "import_count")
 
 
 def code_fix_imports(spark, d):
     """Missing names of every file against the index of all of them: new sources and their number of edits."""
-    f, x, index = _index(spark, d)
-    return fixing.fix_files(f, index, x, location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
+    f, x, resolved, index = _index(spark, d)
+    return fixing.fix_files(f, index, x, resolved, location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
 
 
 def code_first_class(spark, d):

@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its input is so small that a scan would not be cut into as many splits; larger inputs stay where they
+    are read. For work that costs far more than moving its rows."""
+    spark = df.sparkSession
+    cores, least = spark.sparkContext.defaultParallelism, 4 << 20  # the size below which a scan is not cut further
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * least else df
+
+
 _shipped: set[str] = set()
 
 
