@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import ship
+from codeloom.session import ship, spread
 
 LANGUAGES = ("python", "json", "toml", "xml")
 #: Extension, in lower case, to language.
@@ -178,4 +178,4 @@ def parse_files(files: DataFrame, file_id: Column, repo: Column, path: Column, s
         F.when(~F.col("has_source"), "no_source").when(F.col("claimed").isNull(), "unclaimed").when(F.array_contains("parses_as", F.col("claimed")), "valid")
         .when(F.size("parses_as") > 0, "wrong_extension").otherwise("corrupt")
     )
-    return rows.mapInArrow(_run, RESULT).distinct().withColumn("verdict", verdict).drop("has_source")
+    return spread(rows).mapInArrow(_run, RESULT).distinct().withColumn("verdict", verdict).drop("has_source")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import textstats
-from codeloom.session import ship, written
+from codeloom.session import ship, spread, written
 
 #: Bounds of the labelled sample the classifier is fitted on: documents, characters of all, and of one.
 MAX_LABELLED = 2000
@@ -165,7 +165,7 @@ def document_statistics(docs: DataFrame, labels: DataFrame, common: DataFrame) -
     lang = F.lit(None).cast("string")
     for n, name in enumerate(words):
         lang = F.when(F.col("lang_no") == n, name).otherwise(lang)
-    return rows.mapInArrow(_stats(model, words), SCHEMA).withColumn("lang", lang).drop("lang_no")
+    return spread(rows).mapInArrow(_stats(model, words), SCHEMA).withColumn("lang", lang).drop("lang_no")
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:

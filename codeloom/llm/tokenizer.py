@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import ship, written
+from codeloom.session import ship, spread, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE splits text before its merges; fixed by the vocabulary.
@@ -161,7 +161,7 @@ def encode_corpus(docs: DataFrame, doc_id: Column, text: Column, vocabulary: str
     of any length are encoded whole. An empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = written(docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(_blocks, BLOCKS), "token-blocks")
+    blocks = written(spread(docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(_blocks, BLOCKS), "token-blocks")
     words = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("code", "word"))
     known = words.select("word").distinct().mapInArrow(_encode(vocabulary), "word string, ids array<int>")
     ids = words.join(known, "word").select("of_block", "code", "ids")
@@ -208,4 +208,4 @@ def _count(path: str):
 def count_tokens(docs: DataFrame, doc_id: Column, text: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens of every row, in one pass and without a shuffle; null and empty texts have 0."""
     ship(docs.sparkSession)
-    return docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(_count(vocabulary), "doc_id bigint, n_tokens bigint")
+    return spread(docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(_count(vocabulary), "doc_id bigint, n_tokens bigint")
