@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from codeloom.extract import edits, parsing
 from codeloom.functions import paths
 from codeloom.operators import code, symbols
-from codeloom.session import ship
+from codeloom.session import ship, written
 
 EDIT = "struct<kind:string,line:int,col:int,end_line:int,end_col:int,text:string>"
 RESULT = f"file_id bigint, path string, new_source string, edits array<{EDIT}>, error string"
@@ -56,7 +56,7 @@ def choose_imports(missing: DataFrame, files: DataFrame, index: DataFrame) -> Da
     itself: where it would be the best, nothing is chosen."""
     # What fits depends on the name and how it is used, not on the file: it is found once for each, and only the most preferred
     # are kept, as distance decides between those alone.
-    ways = missing.withColumn("contexts", F.array_sort("contexts"))
+    ways = written(missing.withColumn("contexts", F.array_sort("contexts")), "missing-names")
     c = ways.select("symbol", "contexts").distinct().join(index.withColumnRenamed("file_id", "target_id").withColumnRenamed("symbol_name", "symbol"), "symbol")
     fits = c.filter(symbols.matches_context(F.col("symbol_type"), F.col("contexts"), F.col("members"))).select("symbol", "contexts", "import_count", "imported", "is_module_itself", "module_key")
     best = fits.withColumn("k", F.rank().over(Window.partitionBy("symbol", "contexts").orderBy(*symbols.preference()))).filter("k = 1").drop("k")

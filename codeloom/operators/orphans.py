@@ -120,6 +120,14 @@ def orphan_keys_now(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return sums.filter("n_refs > 0 AND n_live = 0")
 
 
+def key_deltas(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """KEY, ts, n_refs, n_live: what each reference and each begin or end of a target changes in the counts of its key."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEY])
+    of_refs = refs.filter(whole).select(*KEY, F.col("ref_ts").alias("ts"), one.alias("n_refs"), zero.alias("n_live"))
+    return of_refs.unionByName(_events(targets).select(*KEY, "ts", zero.alias("n_refs"), F.col("live").alias("n_live")))
+
+
 def apply_deltas(state: DataFrame, deltas: DataFrame) -> DataFrame:
     """Signed maintenance of KEY, n_refs, n_live: the state after a batch of deltas; keys with both counts zero leave it."""
     cols = [*KEY, "n_refs", "n_live"]

@@ -31,6 +31,16 @@ def p1_keys_now(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_keys_now(orphans.symbol_index_references(entries, aliases), orphans.symbol_index_targets(modules, entries))
 
 
+def p1_keys_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """p1_keys_now, reached by keeping the counts of an older day and applying the changes since."""
+    entries = table(spark, d, "symbol_entries").drop("ingested_at").dropDuplicates(["entry_id"])
+    aliases, modules = table(spark, d, "symbol_aliases").dropDuplicates(["alias_id"]), table(spark, d, "modules").dropDuplicates(["module_row_id"])
+    deltas = orphans.key_deltas(orphans.symbol_index_references(entries, aliases), orphans.symbol_index_targets(modules, entries))
+    late = F.coalesce(F.col("ts") >= "2024-07-01", F.lit(False))
+    state = written(orphans.apply_deltas(deltas.limit(0), deltas.filter(~late)), "orphan-counts")
+    return orphans.apply_deltas(state, deltas.filter(late)).filter("n_refs > 0 AND n_live = 0")
+
+
 def _key_totals(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "symbol_entries")
     return keytotals.key_totals(entries, F.col("entry_id"), _module_text(), F.col("symbol_name"), F.col("import_count"))
@@ -68,7 +78,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return changelog.changed_files(stored, listing)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_keys_now": p1_keys_now, "p2_found": p2_found, "p2_totals": p2_totals, "p4_found": p4_found, "p5_found": p5_found}
+def p5_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """p5_found with the log captured in two runs, the second of which reads only what the first did not have."""
+    history, runs, listing = (table(spark, d, t) for t in ("file_history", "index_runs", "file_listing"))
+    capture = changelog.file_capture(spark, work_path(spark, "file-log"))
+    log = changelog.file_log(history)
+    last = log.agg(F.max("history_id")).first()[0] or 0
+    capture.run(log.filter(F.col("history_id") <= last // 2))
+    capture.run(log)
+    captured = capture.captured()
+    return changelog.changed_files(changelog.stored_files(log.limit(0) if captured is None else captured, runs), listing)
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_keys_now": p1_keys_now, "p1_keys_maintained": p1_keys_maintained, "p2_found": p2_found, "p2_totals": p2_totals, "p4_found": p4_found, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
 
 _NORMAL = """CASE WHEN starts_with(module_key.id, '/') THEN coalesce(nullif(list_reduce(list_filter(string_split(module_key.id, '/'), lambda x: x <> '' AND x <> '.'),
   lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END, ''), ''), '/') ELSE module_key.id END"""
@@ -119,3 +141,5 @@ ORACLES = {
         SELECT root_dir, path, 1 updated FROM listed LEFT JOIN stored USING (root_dir, path) WHERE mtime > coalesce(ts, 0)
         UNION ALL SELECT root_dir, path, 0 FROM stored ANTI JOIN listed USING (root_dir, path)""",
 }
+
+ORACLES |= {"p1_keys_maintained": ORACLES["p1_keys_now"], "p5_two_runs": ORACLES["p5_found"]}
