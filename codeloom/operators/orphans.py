@@ -25,7 +25,7 @@ from codeloom.session import written
 
 KEY = ["kind", "key_type", "key_id", "key_name", "key_itself"]
 BUCKETS = 1 << 16
-#: A hash bucket with more rows than this is cut into slices of an hour.
+#: A hash bucket with more rows than this, and than four times the usual number, is cut into slices of an hour.
 SLICE_ABOVE = 1_000_000
 
 
@@ -64,7 +64,9 @@ def orphan_references(refs: DataFrame, targets: DataFrame, slice_above: int = SL
 
     bucket = F.pmod("key_hash", F.lit(BUCKETS)).cast("int")
     counts = targets.select(F.xxhash64(*KEY).alias("key_hash")).unionByName(refs.select(F.xxhash64(*KEY).alias("key_hash")))
-    hot = [x["b"] for x in counts.groupBy(bucket.alias("b")).count().filter(F.col("count") > slice_above).select("b").collect()]
+    rows_in = {x["b"]: x["count"] for x in counts.groupBy(bucket.alias("b")).count().collect()}  # at most BUCKETS rows
+    usual = sum(rows_in.values()) / BUCKETS
+    hot = [b for b, n in rows_in.items() if n > max(slice_above, 4 * usual)]
 
     if hot:
         is_hot = bucket.isin(hot)
