@@ -40,8 +40,9 @@ def _best() -> Column:
     return F.struct((-F.col("value")).alias("v"), F.length("term").alias("n"), "term")
 
 
-def best_by_prefix(terms: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """prefix, term, value: the best term under every prefix of so many characters. A minimum, so combined on the map side."""
+def best_by_prefix(terms: DataFrame, shortest: int, longest: int | None = None) -> DataFrame:
+    """prefix, term, value: the best term under every prefix of so many characters, without longest under every prefix there is.
+    A minimum, so combined on the map side."""
     best = prefixes(terms, shortest, longest).groupBy("prefix").agg(F.min(_best()).alias("b"))
     return best.select("prefix", F.col("b.term").alias("term"), (-F.col("b.v")).alias("value"))
 
@@ -84,9 +85,10 @@ def children(paths: DataFrame, directory: str) -> DataFrame:
     )
 
 
-def tree(terms: DataFrame, longest: int) -> DataFrame:
+def tree(terms: DataFrame, longest: int | None = None) -> DataFrame:
     """The prefix tree as rows: prefix, end_point (a term ends here), value of that term, highest value at or beneath, and the
-    next character towards it (null where the best term ends). Prefixes of at most longest characters."""
+    next character towards it (null where the best term ends). Prefixes of at most longest characters; without it every term has
+    its end."""
     at_end = F.col("prefix") == F.col("term")
     nodes = prefixes(terms, 1, longest).groupBy("prefix").agg(
         F.max(at_end).alias("end_point"), F.max(F.when(at_end, F.col("value"))).alias("value"), F.max("value").alias("highest"), F.min(_best()).alias("b")

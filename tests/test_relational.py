@@ -25,6 +25,14 @@ def test_prefix_questions(spark):
     assert tree == {"a": (False, None, 5, "b"), "ab": (True, 3, 5, "d"), "abc": (True, 3, 3, None), "abd": (True, 5, 5, None)}
 
 
+def test_every_term_has_its_end(spark):
+    t = _terms(spark, [("core.loader.sources_of_files", 3), ("core.x", 1), ("é" * 40, 2)])
+    nodes = terms.tree(t).collect()
+    assert {r["prefix"]: r["value"] for r in nodes if r["end_point"]} == {r["term"]: r["value"] for r in t.collect()}
+    assert len(nodes) == 28 + 1 + 40
+    assert {r["prefix"] for r in terms.best_by_prefix(t, 1).collect()} == {r["prefix"] for r in nodes}
+
+
 def test_accumulate(spark):
     adds = [(1, "a", 5, True), (2, "a", 1, False), (3, "a", 2, True), (1, "b", 4, True), (2, "b", 4, True), (1, "c", 7, True), (2, "c", 0, False)]
     got = terms.accumulated(spark.createDataFrame(adds, "seq bigint, term string, value bigint, add_value boolean")).collect()
