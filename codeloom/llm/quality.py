@@ -4,8 +4,8 @@
    a small line classifier fitted on labelled documents.
 2. Each statistic gets a mergeable quantile sketch per language, and one over all languages, which serves documents whose
    language cannot be told or is rare. Values become robust z-scores: distance from the median in spreads of the middle half.
-3. Documents in a tail of any statistic are flagged; of the flagged, those with less than half of their lines running are
-   not prose.
+3. Documents in a tail of any statistic are flagged; the tail of running lines also has every value below one half, however
+   common that is. Of the flagged, those with less than half of their lines running are not prose.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MAX_COMMON = 100_000
 CHUNK_CHARS = 1 << 20
 #: A document is flagged if a statistic is so many spreads from the median.
 TAIL_Z = 1.0
+#: A document with a smaller share of running lines is flagged whatever its language's documents are like.
+LEAST_RUNNING = 0.5
 #: A language with fewer documents is held against all languages.
 MIN_LANGUAGE = 200
 #: Relative error of the sketches' ranks is 1 over this.
@@ -178,8 +180,9 @@ def language_sketches(stats: DataFrame) -> DataFrame:
 
 
 def robust_scores(stats: DataFrame) -> DataFrame:
-    """stats with a z-score for each sketched statistic (z_...), and flagged: in a tail of any of them. stats must be cheap to
-    read twice. A spread of zero counts as one hundredth. Texts without lines have null scores and no flag."""
+    """stats with a z-score for each sketched statistic (z_...), z_flagged: in a tail of any of them by its score, and flagged:
+    that or below LEAST_RUNNING. stats must be cheap to read twice. A spread of zero counts as one hundredth. Texts without lines
+    have null scores and no flag."""
     rows = {r["lang"]: r for r in language_sketches(stats).collect()}  # as many rows as languages
     every = rows.pop("")
 
@@ -197,7 +200,9 @@ def robust_scores(stats: DataFrame) -> DataFrame:
 
     scored = stats.withColumns({f"z_{c}": score(c) for c in SKETCHED})
     tails = [F.abs(f"z_{c}") >= TAIL_Z for c in SKETCHED]
-    return scored.withColumn("flagged", F.coalesce(reduce(lambda a, b: a | b, tails), F.lit(False)))
+    by_score = F.coalesce(reduce(lambda a, b: a | b, tails), F.lit(False))
+    low = (F.col("n_lines") > 0) & (F.col("running_lines") < LEAST_RUNNING)
+    return scored.withColumn("z_flagged", by_score).withColumn("flagged", F.col("z_flagged") | low)
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, common: DataFrame) -> DataFrame:
@@ -206,4 +211,4 @@ def scored_documents(docs: DataFrame, labels: DataFrame, common: DataFrame) -> D
 
 def not_prose(scored: DataFrame) -> DataFrame:
     """The flagged documents of which fewer than half of the lines are running text."""
-    return scored.filter(F.col("flagged") & (F.col("running_lines") < 0.5) & (F.col("n_lines") > 0))
+    return scored.filter(F.col("flagged") & (F.col("running_lines") < LEAST_RUNNING) & (F.col("n_lines") > 0))

@@ -52,6 +52,13 @@ def test_found(spark, monkeypatch):
     assert all(r["z_running_lines"] is None and not r["flagged"] for r in scored.filter("doc_id in (900, 901, 902)").collect())
 
 
+def test_found_where_most_is_not_prose(spark):
+    docs = [(n, PROSE if n % 5 == 0 else TABLE, "en", "x") for n in range(200)]
+    scored = quality.scored_documents(*_frames(spark, docs, [(n, "prose" if n % 5 == 0 else "table", "r") for n in range(100)]))
+    assert sorted(r["doc_id"] for r in quality.not_prose(scored).collect()) == [n for n in range(200) if n % 5]
+    assert scored.filter("flagged AND NOT z_flagged").count() == 160
+
+
 def test_no_labels_and_no_documents(spark):
     docs = [(n, TABLE if n % 5 == 0 else PROSE, "en", "x") for n in range(50)]
     d, lab, com = _frames(spark, docs, [])
