@@ -12,8 +12,9 @@ from typing import Any
 
 from codeloom.extract import scopes
 
-#: A name keeps at most this many possible values; beyond, it is unknown.
+#: An operation is worked out for at most this many combinations of its operands' values.
 MAX_VALUES = 16
+#: A call nested deeper is not followed: it may give anything, UNKNOWN and MORE.
 MAX_DEPTH = 24
 MAX_SIZE = 10_000
 
@@ -39,6 +40,8 @@ class Value:
 
 Values = list[Value]
 UNKNOWN = Value("unknown")
+#: Stands for values that a limit left out. It never comes alone, so what holds it is ambiguous.
+MORE = Value("unknown", None, "...")
 
 
 def native(x: Any) -> Value:
@@ -50,7 +53,7 @@ def union(*parts: Values) -> Values:
     for p in parts:
         for v in p:
             out.setdefault(v.key(), v)
-    return list(out.values()) if len(out) <= MAX_VALUES else [UNKNOWN]
+    return list(out.values())
 
 
 def truth(v: Value) -> bool | None:
@@ -173,7 +176,7 @@ class Evaluator:
                     self.bind(x, self.item(v, k - len(t.elts)), f)
         elif isinstance(t, ast.Attribute):
             for o in self.expr(t.value, f):
-                if o is not UNKNOWN:
+                if o is not UNKNOWN and o is not MORE:
                     o.members[t.attr] = v
         elif isinstance(t, ast.Subscript):
             key, known = self.expr(t.slice, f), len(v) == 1 and v[0].kind == "native"
@@ -296,6 +299,8 @@ class Evaluator:
     def member(self, o: Value, name: str) -> Values:
         if name in o.members:
             return o.members[name]
+        if o is MORE:
+            return [UNKNOWN, MORE]
         if o.kind == "instance" and isinstance(o.value, Value) and name in o.value.members:
             return [Value("function", (*v.value, o), v.name) if v.kind == "function" and len(v.value) == 2 else v for v in o.value.members[name]]
         return [UNKNOWN]
@@ -315,6 +320,8 @@ class Evaluator:
                 out.append(x if x is UNKNOWN else native(x) if isinstance(x, _PLAIN) and _small(x) else UNKNOWN)
             except Exception:  # noqa: BLE001 - an operation that fails has no known value
                 out.append(UNKNOWN)
+        if any(v is MORE for p in parts for v in p):
+            out += [UNKNOWN, MORE]
         return union(out)
 
     def _e_binop(self, e, f):
@@ -416,14 +423,16 @@ class Evaluator:
                 except Exception:  # noqa: BLE001 - no such item
                     out.append([UNKNOWN])
             else:
-                out.append([UNKNOWN])
+                out.append([UNKNOWN, MORE] if o is MORE else [UNKNOWN])
         return union(*out)
 
     def items_of(self, values: Values) -> Values:
         out = []
         for o in values:
-            if o.kind == "native" and isinstance(o.value, (list, tuple, set, dict, str)) and len(o.value) <= MAX_VALUES:
+            if o.kind == "native" and isinstance(o.value, (list, tuple, set, dict, str)):
                 out.append([native(x) for x in o.value])
+            elif o is MORE:
+                out.append([UNKNOWN, MORE])
             else:
                 out.append([v for k, m in o.members.items() if k.startswith("[") for v in m] if o.kind == "instance" and o.name in ("list", "tuple") else [UNKNOWN])
         return union(*out)
@@ -503,10 +512,12 @@ class Evaluator:
                     self.call(init, args, named)
             return [made]
         if o.kind != "function":
-            return [UNKNOWN]
+            return [UNKNOWN, MORE] if o is MORE else [UNKNOWN]
         node, home, *bound = o.value
-        if node in self.running or len(self.running) >= MAX_DEPTH:  # recursion is not followed
+        if node in self.running:  # recursion is not followed
             return [UNKNOWN]
+        if len(self.running) >= MAX_DEPTH:
+            return [UNKNOWN, MORE]
         f, a = Frame(home), node.args
         plain = [p.arg for p in (*a.posonlyargs, *a.args)]
         is_static = isinstance(node, ast.FunctionDef) and any(isinstance(d, ast.Name) and d.id == "staticmethod" for d in node.decorator_list)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codeloom.extract import edits, evaluate, facts, parsing, scopes
+from codeloom.operators import code
 
 MISSING = [
     ("x = y", {"y"}), ("print(y)\ny = 1", set()), ("import os\nos.path", set()), ("from a import b as c\nb, c", {"b"}), ("for i in seq:\n    i, j", {"seq", "j"}),
@@ -148,6 +149,19 @@ def test_values(source, name, want):
     assert ([v.value for v in got] if all(v.kind == "native" for v in got) else None) == want
 
 
+def _rows_of(source):
+    return {n: (n_values, ambiguous) for n, n_values, ambiguous, *_ in code._values(source)}
+
+
+def test_all_branches_are_kept():
+    chain = "if q == 0:\n    x = 0\n" + "".join(f"elif q == {n}:\n    x = {n}\n" for n in range(1, 40))
+    assert _rows_of(chain)["x"] == (40, True)
+    assert _rows_of(f"for x in {list(range(30))}:\n    y = x")["y"] == (30, True)
+    calls = "def f0(): return 1\n" + "".join(f"def f{n}(): return f{n - 1}()\n" for n in range(1, 40))
+    got = _rows_of(calls + "x = f20()\ny = f39()\nz = f39().a[0]() + 1")
+    assert got["x"] == (1, False) and got["y"] == got["z"] == (2, True)
+
+
 def test_types_and_truth():
     v = evaluate.evaluate(ast.parse("import os\nclass A: pass\na = A()\ndef f(): pass\nu = q\nm = 1 if q else 'x'\ns = ...\nb = b'x'\nc = 2j"))
     assert [v[n][0].type_name() for n in ("os", "A", "a", "f", "u", "s", "b", "c")] == ["module", "type", "A", "function", None, "ellipsis", "bytes", "complex"]
