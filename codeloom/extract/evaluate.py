@@ -7,13 +7,14 @@ values. What is not known is unknown: calls of things that are not defined here,
 from __future__ import annotations
 
 import ast
+import itertools
 from dataclasses import dataclass, field
 from typing import Any
 
 from codeloom.extract import scopes
 
-#: An operation is worked out for at most this many combinations of its operands' values.
-MAX_VALUES = 16
+#: An operation is worked out for at most this many combinations of its operands' values; with more of them MORE is added.
+MAX_COMBINATIONS = 256
 #: A call nested deeper is not followed: it may give anything, UNKNOWN and MORE.
 MAX_DEPTH = 24
 MAX_SIZE = 10_000
@@ -306,21 +307,22 @@ class Evaluator:
         return [UNKNOWN]
 
     def _known(self, *parts: Values):
-        """All ways to choose one native value of each part; None stands for a part that is not known."""
-        out: list[tuple | None] = [()]
-        for p in parts:
-            out = [None if o is None or v.kind != "native" else (*o, v.value) for o in out for v in p][:MAX_VALUES]
-        return out
+        """All ways to choose one native value of each part; None stands for a part that is not known. The second result is
+        whether there are more than MAX_COMBINATIONS ways, of which only so many are given."""
+        ways = itertools.product(*parts)
+        out = [tuple(v.value for v in w) if all(v.kind == "native" for v in w) else None for w in itertools.islice(ways, MAX_COMBINATIONS)]
+        return out, next(ways, None) is not None
 
     def _compute(self, fn, *parts: Values) -> Values:
+        ways, more = self._known(*parts)
         out = []
-        for args in self._known(*parts):
+        for args in ways:
             try:
                 x = fn(*args) if args is not None else UNKNOWN
                 out.append(x if x is UNKNOWN else native(x) if isinstance(x, _PLAIN) and _small(x) else UNKNOWN)
             except Exception:  # noqa: BLE001 - an operation that fails has no known value
                 out.append(UNKNOWN)
-        if any(v is MORE for p in parts for v in p):
+        if more or any(v is MORE for p in parts for v in p):
             out += [UNKNOWN, MORE]
         return union(out)
 

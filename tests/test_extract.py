@@ -162,6 +162,19 @@ def test_all_branches_are_kept():
     assert got["x"] == (1, False) and got["y"] == got["z"] == (2, True)
 
 
+def test_all_combinations_are_kept():
+    def one_of(name, values):
+        return "".join(f"{'el' if k else ''}if q == {k}:\n    {name} = {v}\n" for k, v in enumerate(values))
+
+    assert _rows_of(one_of("a", range(5)) + one_of("b", range(0, 40, 10)) + "x = a + b")["x"] == (20, True)
+    # the first 16 combinations agree
+    assert _rows_of(one_of("a", range(5)) + one_of("b", range(0, 40, 10)) + "x = a * 10 + b > 35")["x"] == (2, True)
+    n = int(evaluate.MAX_COMBINATIONS**0.5)
+    assert _rows_of(one_of("a", range(n)) + one_of("b", range(n)) + f"x = a * {n} + b")["x"] == (n * n, True)
+    beyond = one_of("a", range(n + 1)) + one_of("b", range(n + 1)) + "x = a < 0 and b\ny = (a + b) < -1\nz = y + 1"
+    assert all(_rows_of(beyond)[k][1] and _rows_of(beyond)[k][0] > 1 for k in "yz")
+
+
 def test_types_and_truth():
     v = evaluate.evaluate(ast.parse("import os\nclass A: pass\na = A()\ndef f(): pass\nu = q\nm = 1 if q else 'x'\ns = ...\nb = b'x'\nc = 2j"))
     assert [v[n][0].type_name() for n in ("os", "A", "a", "f", "u", "s", "b", "c")] == ["module", "type", "A", "function", None, "ellipsis", "bytes", "complex"]
