@@ -1,6 +1,7 @@
 """Scope rules, facts, edits and evaluation on small sources written for the purpose."""
 
 import ast
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -56,6 +57,31 @@ def test_tolerant_parse_keeps_places():
     assert parsing.parse_tolerant("x = 1")[1:] == ([], None)
 
 
+FAR = [
+    ("s = " + q * 3 + "\n" + "".join(f"line {n} isn't \\" + q * 3 + " it (\n" for n in range(30)) + q * 3, ["Assign"]) for q in "\"'"
+] + [
+    ("if q == 0:\n    x = 0\n" + "".join(f"elif q == {n}:\n    x = '#('\n" for n in range(20)) + "else:\n    y = 1", ["If"]),
+    ("try:\n    a()\n" + "".join(f"except E{n}:\n    pass  # (\n" for n in range(20)) + "finally:\n    b()", ["Try"]),
+    ("d = [\n" + "".join(f"{n}, '[',\n" for n in range(30)) + "]", ["Assign"]), ("".join(f"@d{n}(\n1)\n" for n in range(20)) + "def g(): pass", ["FunctionDef"]), ("v = 1 + \\\n" + "2 + \\\n" * 20 + "3", ["Assign"]),
+    ("s = 'a\\\n" + "b (\\\n" * 20 + "c'", ["Assign"]), ("def f():\n    " + '"""Text.\n' + "Column 0.\n" * 20 + '    """', ["FunctionDef"]),
+]
+
+
+@pytest.mark.parametrize(("statement", "kinds"), FAR)
+def test_tolerant_parse_of_long_statements(statement, kinds):
+    assert [type(s).__name__ for s in ast.parse(statement).body] == kinds
+    tree, bad, _ = parsing.parse_tolerant(f"import a\ndef f(:\n    pass\n{statement}\nimport z\n" + 't = """doc"""\n')
+    assert [type(s).__name__ for s in tree.body] == ["Import", *kinds, "Import", "Assign"]
+    assert bad == [(2, 3)]
+
+
+@pytest.mark.parametrize("line", ["x = (", "@a", "if q:", "else:", 's = """', "f(a,", "b'", "x = [1, \\", "'a\\"])
+def test_tolerant_parse_ends_soon(line):
+    began = time.time()
+    parsing.parse_tolerant("def f(:\n" + f"{line}\n" * 1000)
+    assert time.time() - began < 10
+
+
 def test_definitions_and_imports():
     tree = ast.parse("import a.b as c, d.e\nfrom ..m import x as y; from ..m import *\nclass K:\n    z = 1\n    def m(self): w = 2\nif 1:\n    v = 3\n    import q\nfor i in r: u = 1")
     assert set(facts.definitions(tree)) == {
