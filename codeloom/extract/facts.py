@@ -114,29 +114,31 @@ def references(tree: ast.Module) -> Iterator[tuple]:
             mine |= {p.arg for p in scopes.parameters(node.args)}
         return mine
 
-    def walk(node: ast.AST, around: list[tuple[str, set[str], bool]]) -> Iterator[tuple]:
-        for c in ast.iter_child_nodes(node):
-            if isinstance(c, ast.Name) and isinstance(c.ctx, ast.Load):
-                resolved = None
-                for k, (scope, names, is_class) in enumerate(reversed(around)):
-                    if c.id in names and not (is_class and k):
-                        resolved = f"{scope}.{c.id}" if scope else c.id
-                        break
-                else:
-                    resolved = f"builtins.{c.id}" if c.id in scopes.KNOWN else None
-                yield c.id, resolved, around[-1][0], c.lineno - 1
-            if isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                full = f"{around[-1][0]}.{c.name}" if around[-1][0] else c.name
-                yield from walk(c, [*around, (full, own(c), isinstance(c, ast.ClassDef))])
-            elif isinstance(c, ast.Lambda):
-                yield from walk(c, [*around, (around[-1][0], {p.arg for p in scopes.parameters(c.args)}, False)])
-            elif isinstance(c, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
-                bound = set().union(*(scopes.targets(g.target) for g in c.generators))
-                yield from walk(c, [*around, (around[-1][0], bound, False)])
+    # a stack of its own: yields through thousands of nested generators take time by the square of their number
+    stack = [(ast.iter_child_nodes(tree), [("", own(tree), False)])]
+    while stack:
+        children, around = stack[-1]
+        if (c := next(children, None)) is None:
+            stack.pop()
+            continue
+        if isinstance(c, ast.Name) and isinstance(c.ctx, ast.Load):
+            resolved = None
+            for k, (scope, names, is_class) in enumerate(reversed(around)):
+                if c.id in names and not (is_class and k):
+                    resolved = f"{scope}.{c.id}" if scope else c.id
+                    break
             else:
-                yield from walk(c, around)
-
-    yield from walk(tree, [("", own(tree), False)])
+                resolved = f"builtins.{c.id}" if c.id in scopes.KNOWN else None
+            yield c.id, resolved, around[-1][0], c.lineno - 1
+        if isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            full = f"{around[-1][0]}.{c.name}" if around[-1][0] else c.name
+            around = [*around, (full, own(c), isinstance(c, ast.ClassDef))]
+        elif isinstance(c, ast.Lambda):
+            around = [*around, (around[-1][0], {p.arg for p in scopes.parameters(c.args)}, False)]
+        elif isinstance(c, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
+            bound = set().union(*(scopes.targets(g.target) for g in c.generators))
+            around = [*around, (around[-1][0], bound, False)]
+        stack.append((ast.iter_child_nodes(c), around))
 
 
 def name_tokens(source: str) -> list[str]:

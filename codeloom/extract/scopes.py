@@ -63,7 +63,7 @@ class Scoper:
         self.strip_imports = strip_imports
         self.named: list[str] = []  # names bound by := in what was read of the current block
 
-    # --- expressions
+    # --- expressions (lists where map or a generator would do: those recurse on the C stack, whose depth is fixed)
 
     def expr(self, node: ast.AST | None) -> Uses:
         if node is None or isinstance(node, ast.Constant):
@@ -74,24 +74,24 @@ class Scoper:
             return self._on(node.value, Use("attribute", node.attr))
         if isinstance(node, ast.Call):
             argc = len(node.args) + len(node.keywords)
-            return merge(self._on(node.func, Use("call", argc=argc)), *map(self.expr, node.args), *(self.expr(k.value) for k in node.keywords))
+            return merge(self._on(node.func, Use("call", argc=argc)), *[self.expr(a) for a in node.args], *[self.expr(k.value) for k in node.keywords])
         if isinstance(node, ast.Subscript):
             return merge(self._on(node.value, Use("subscript")), self.expr(node.slice))
         if isinstance(node, ast.Lambda):
             a, before = node.args, len(self.named)
             body = less(self.expr(node.body), (p.arg for p in parameters(a)))
             del self.named[before:]
-            return merge(body, *map(self.expr, [*a.defaults, *(d for d in a.kw_defaults if d)]))
+            return merge(body, *[self.expr(d) for d in (*a.defaults, *a.kw_defaults)])
         if isinstance(node, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
             bound = set().union(*(targets(g.target) for g in node.generators))
             inner = [node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt]
             for g in node.generators:
                 inner += [g.iter, *g.ifs]
-            return less(merge(*map(self.expr, inner)), bound)
+            return less(merge(*[self.expr(x) for x in inner]), bound)
         if isinstance(node, ast.NamedExpr):
             self.named.append(node.target.id)
             return self.expr(node.value)
-        return merge(*map(self.expr, ast.iter_child_nodes(node)))
+        return merge(*[self.expr(c) for c in ast.iter_child_nodes(node)])
 
     def _on(self, base: ast.AST, use: Use) -> Uses:
         return {base.id: {use}} if isinstance(base, ast.Name) else self.expr(base)
@@ -224,10 +224,15 @@ def captures(pattern: ast.pattern) -> set[str]:
 
 def _walrus(node: ast.AST | None) -> set[str]:
     """Names bound by := in an expression, outside of lambdas."""
-    if node is None or isinstance(node, (ast.Lambda, ast.stmt)):
-        return set()
-    own = {node.target.id} if isinstance(node, ast.NamedExpr) else set()
-    return own.union(*(_walrus(c) for c in ast.iter_child_nodes(node)))
+    out, todo = set(), [node]
+    while todo:
+        n = todo.pop()
+        if n is None or isinstance(n, (ast.Lambda, ast.stmt)):
+            continue
+        if isinstance(n, ast.NamedExpr):
+            out.add(n.target.id)
+        todo += ast.iter_child_nodes(n)
+    return out
 
 
 def _is_function(s: ast.AST) -> bool:

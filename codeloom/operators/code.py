@@ -6,6 +6,7 @@ facts of the statements that do, and a row in parse_failures.
 
 from __future__ import annotations
 
+import ast
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,11 +42,15 @@ FAILURES = "file_id bigint, error_kind string, message string, n_skipped_lines i
 BATCH_ROWS = 20_000
 
 
+def _frames(source: str) -> int:
+    """Frames a walk of the source may need; they are on the heap."""
+    return 10_000 + 20 * len(source)
+
+
 def _rows(make: Callable[[str], Iterator[tuple]], schema: str):
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(10_000)
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -56,6 +61,7 @@ def _rows(make: Callable[[str], Iterator[tuple]], schema: str):
             for i, s in zip(b["file_id"].to_pylist(), b["source"], strict=True):
                 if (text := s.as_py()) is None:
                     continue
+                sys.setrecursionlimit(_frames(text))
                 try:
                     held += [(i, *r) for r in make(text)]
                 except RecursionError:  # nested beyond what is walked; parse_failures has it
@@ -182,11 +188,36 @@ def values(files: DataFrame) -> DataFrame:
     return _facts(files, _values, VALUES)
 
 
+#: What reads a source, by the facts it gives.
+_READERS: dict[str, Callable[[str], Iterator[tuple]]] = {
+    "definitions, imports, uses, exports": _every, "nodes": _of_tree(facts.nodes), "parameters": _of_tree(facts.parameters), "references": _of_tree(facts.references), "statements": _of_tree(facts.statements), "closures": _of_tree(scopes.closures),
+    "values": _values,
+}
+#: Sources nested less are walked by all of these.
+SURELY_WALKED = 200
+
+
 def _failure(source: str) -> Iterator[tuple]:
-    _, bad, error = parsing.parse_tolerant(source)
+    """Sources that do not parse as a whole, and the facts of which a source has none because it is nested beyond what is walked."""
+    tree, bad, error = parsing.parse_tolerant(source)
     if error is not None:
         kind, _, message = error.partition(": ")
         yield kind, message, sum(b - a + 1 for a, b in bad)
+    if _nested(tree, SURELY_WALKED):
+        for name, read in _READERS.items():
+            try:
+                for _ in read(source):
+                    pass
+            except RecursionError:
+                yield "RecursionError", f"no {name}: nested too deeply", len(source.splitlines())
+
+
+def _nested(tree: ast.AST, depth: int) -> bool:
+    """Whether nodes are nested more deeply than so."""
+    level = [tree]
+    while level and depth >= 0:
+        level, depth = [c for n in level for c in ast.iter_child_nodes(n)], depth - 1
+    return bool(level)
 
 
 def parse_failures(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import ast
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +157,34 @@ def test_import_edits(source, add, remove, want):
     assert edits.apply(source, edits.import_edits(ast.parse(source), [edits.Wanted(*w) for w in add], remove)) == want
 
 
+DEEP = [" + ".join(["a"] * 9000), "a" + ".b(1)" * 3000, "a" + "[0]" * 4000, " + ".join(["f'{a}'"] * 4000)]
+
+
+@pytest.mark.parametrize("deep", DEEP)
+def test_deep_sources_have_their_facts(spark, deep):
+    source = f"import q\ndef f(): pass\nx = {deep}\n"
+    files = pa.RecordBatch.from_pydict({"file_id": pa.array([1, 2]), "source": [source, "y = 1"]})
+
+    def facts_of(make, schema):
+        return [r for b in code._rows(make, schema)(iter([files])) for r in b.to_pylist()]
+
+    found = {r["name"] for r in facts_of(lambda s: ((r[1]["name"],) for r in code._every(s) if r[0] == "definition"), "file_id bigint, name string")}
+    assert found == {"f", "x", "y"}
+    assert {r["name"] for r in facts_of(code._values, code.VALUES)} == {"q", "f", "x", "y"}
+    for make, schema in ((facts.references, code.REFERENCES), (facts.statements, code.STATEMENTS)):
+        assert 1 in {r["file_id"] for r in facts_of(code._of_tree(make), schema)}
+    assert facts_of(code._failure, code.FAILURES) == []
+
+
+def test_facts_left_out_are_failures(monkeypatch):
+    def read(source):
+        raise RecursionError
+
+    monkeypatch.setitem(code._READERS, "values", read)
+    assert list(code._failure("x = " + " + ".join(["a"] * 300))) == [("RecursionError", "no values: nested too deeply", 1)]
+    assert list(code._failure("x = 1")) == []
+
+
 # --- evaluation
 
 VALUES = [
