@@ -53,8 +53,11 @@ def best_under(terms: DataFrame, prefix: str) -> DataFrame:
     return under.orderBy(F.desc("value"), F.length("term"), "term").limit(1).select("term", "value")
 
 
-def max_under(terms: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
-    """prefix, value: the largest value under each wanted prefix (of at most longest characters), 0 where nothing is under it."""
+def max_under(terms: DataFrame, wanted: DataFrame, longest: int | None = None) -> DataFrame:
+    """prefix, value: the largest value under each wanted prefix (of at most longest characters if given), 0 where nothing is under
+    it."""
+    if longest is None:
+        longest = wanted.agg(F.max(F.length("prefix"))).first()[0] or 0
     known = prefixes(terms, 1, longest).groupBy("prefix").agg(F.max("value").alias("value"))
     return wanted.select("prefix").distinct().join(known, "prefix", "left").select("prefix", F.coalesce("value", F.lit(0)).alias("value"))
 

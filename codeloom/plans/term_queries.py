@@ -48,7 +48,7 @@ def prefix_top1_terms_whole(spark, d):
 
 def prefix_max_value(spark, d):
     wanted = table(spark, d, "common_words").select(F.col("word").alias("prefix"))
-    return terms.max_under(_names(spark, d), wanted, 8)
+    return terms.max_under(_names(spark, d), wanted)
 
 
 def prefix_prune(spark, d):

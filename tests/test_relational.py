@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fuzzy, paths
 from codeloom.operators import history, symbols, terms
+from codeloom.plans import term_queries
 
 
 def _terms(spark, rows):
@@ -25,6 +26,13 @@ def test_prefix_questions(spark):
     assert tree == {"a": (False, None, 5, "b"), "ab": (True, 3, 5, "d"), "abc": (True, 3, 3, None), "abd": (True, 5, 5, None)}
 
 
+def test_max_under_long_prefixes(spark, monkeypatch):
+    tables = {"documents": spark.createDataFrame([("wonderfully wonderful wonderfully",)], "text string"), "common_words": spark.createDataFrame([("wonderfull",), ("wonder",), ("x",)], "word string")}
+    monkeypatch.setattr(term_queries, "table", lambda spark, d, name: tables[name])
+    assert sorted(tuple(r) for r in term_queries.prefix_max_value(spark, "").collect()) == [("wonder", 2), ("wonderfull", 2), ("x", 0)]
+    assert terms.max_under(_terms(spark, [("a", 1)]), spark.createDataFrame([], "prefix string")).count() == 0
+
+
 def test_every_term_has_its_end(spark):
     t = _terms(spark, [("core.loader.sources_of_files", 3), ("core.x", 1), ("é" * 40, 2)])
     nodes = terms.tree(t).collect()
