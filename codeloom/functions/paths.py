@@ -103,11 +103,13 @@ def import_statement(module: Column, value: Column, as_name: Column) -> Column:
 
 
 def number_literal(text: Column) -> Column:
-    """Value of a whole number in Python's spelling (decimal, 0x, 0o, 0b, with underscores); null for others."""
+    """Value of a whole number in Python's spelling (decimal, 0x, 0o, 0b, with underscores); null for others and what BIGINT does
+    not hold."""
     t = F.lower(F.regexp_replace(text, "_", ""))
     out = F.expr("CAST(NULL AS BIGINT)")
-    for prefix, base, digits in (("0x", 16, "0-9a-f"), ("0o", 8, "0-7"), ("0b", 2, "01")):
-        out = F.when(t.rlike(f"^{prefix}[{digits}]{{1,15}}$"), F.conv(F.substring(t, 3, 64), base, 10).try_cast("bigint")).otherwise(out)
+    for prefix, base, digits, most in (("0x", 16, "0-9a-f", 16), ("0o", 8, "0-7", 21), ("0b", 2, "01", 63)):  # more digits do not fit
+        value = F.regexp_replace(t, f"^{prefix}0*(?=.)", "")
+        out = F.when(t.rlike(f"^{prefix}0*[{digits}]{{1,{most}}}$"), F.conv(value, base, 10).try_cast("bigint")).otherwise(out)
     return F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")).otherwise(out)
 
 

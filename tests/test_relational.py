@@ -26,6 +26,12 @@ def test_prefix_questions(spark):
     assert tree == {"a": (False, None, 5, "b"), "ab": (True, 3, 5, "d"), "abc": (True, 3, 3, None), "abd": (True, 5, 5, None)}
 
 
+def test_long_number_literals(spark):
+    texts = ["0b1111000011110000", "0b" + "1" * 63, "0b" + "1" * 64, "0o777777777777777777777", "0o1" + "0" * 21, "0x7fff_ffff_ffff_ffff", "0xffffffffffffffff", "0x" + "0" * 20 + "a", "0b00", "0x" + "1" * 17, "0b2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", paths.number_literal(F.col("t")).alias("v")).orderBy("n").collect()
+    assert [r["v"] for r in rows] == [0xF0F0, 2**63 - 1, None, 2**63 - 1, None, 2**63 - 1, None, 10, 0, None, None]
+
+
 def test_max_under_long_prefixes(spark, monkeypatch):
     tables = {"documents": spark.createDataFrame([("wonderfully wonderful wonderfully",)], "text string"), "common_words": spark.createDataFrame([("wonderfull",), ("wonder",), ("x",)], "word string")}
     monkeypatch.setattr(term_queries, "table", lambda spark, d, name: tables[name])
