@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import grammar, packing, quality, tokenizer
+from codeloom.llm import grammar, packing, quality, tokenizer, topn
 from codeloom.session import table
 
 CAPACITY = 2048
@@ -31,6 +31,16 @@ def p3_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).select("file_id", "claimed", "verdict", "parses_as")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    entries, terms = table(spark, d, "symbol_entries"), table(spark, d, "trie_terms")
+    m, zero = F.col("module_key"), F.lit(0)
+    module = F.concat(m["module_source_type"].cast("string"), F.lit("|"), m["id"])
+    e = topn.top_n(entries, module, F.col("entry_id"), [(F.coalesce("import_count", zero), True), (F.col("symbol_name"), False)], 3)
+    score = F.greatest(F.coalesce("value", zero), F.coalesce("highest_child_value_at_or_beneath", zero))
+    t = topn.top_n(terms, F.col("prefix"), F.col("term_id"), [(score, True), (F.length("term"), False), (F.col("term"), False)], 3)
+    return e.select(F.lit("symbol_entries").alias("group_table"), "group_key", "item_id").unionByName(t.select(F.lit("trie_terms").alias("group_table"), "group_key", "item_id"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
@@ -65,5 +75,12 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_verdicts": p3_verdicts, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
-ORACLES = {"p6_roundtrip": "SELECT true AS equal, count(*) AS n_documents FROM documents"}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
+ORACLES = {
+    "p4_found": """WITH e AS (SELECT DISTINCT entry_id, CAST(module_key.module_source_type AS VARCHAR) || '|' || module_key.id g, symbol_name, coalesce(import_count, 0) c FROM symbol_entries),
+        t AS (SELECT DISTINCT term_id, prefix, term, greatest(coalesce(value, 0), coalesce(highest_child_value_at_or_beneath, 0)) c FROM trie_terms)
+        SELECT 'symbol_entries' group_table, g group_key, entry_id item_id FROM e QUALIFY row_number() OVER (PARTITION BY g ORDER BY c DESC, symbol_name NULLS LAST, entry_id) <= 3
+        UNION ALL
+        SELECT 'trie_terms', prefix, term_id FROM t QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY c DESC, length(term) NULLS LAST, term NULLS LAST, term_id) <= 3""",
+    "p6_roundtrip": "SELECT true AS equal, count(*) AS n_documents FROM documents",
+}
