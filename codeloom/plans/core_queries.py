@@ -1,11 +1,11 @@
-"""Queries p1, p2, p4 and p5 over the symbol index, with the SQL that must give the same rows."""
+"""Queries p1, p2 and p5 over the symbol index, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import changelog, keytotals, orphans, topn
+from codeloom.operators import changelog, keytotals, orphans
 from codeloom.session import table, work_path, written
 
 
@@ -59,15 +59,6 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return _named(_key_totals(spark, d), F.col("n_rows").alias("n_entries"), F.col("n_partners").alias("n_others"), F.col("total").alias("sum_import_count"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    entries, terms = table(spark, d, "symbol_entries"), table(spark, d, "trie_terms")
-    zero = F.lit(0)
-    e = topn.top_n(entries, _module_text(), F.col("entry_id"), [(F.coalesce("import_count", zero), True), (F.col("symbol_name"), False)], 3)
-    score = F.greatest(F.coalesce("value", zero), F.coalesce("highest_child_value_at_or_beneath", zero))
-    t = topn.top_n(terms, F.col("prefix"), F.col("term_id"), [(score, True), (F.length("term"), False), (F.col("term"), False)], 3)
-    return e.select(F.lit("symbol_entries").alias("group_table"), "group_key", "item_id").unionByName(t.select(F.lit("trie_terms").alias("group_table"), "group_key", "item_id"))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     history, runs, listing = (table(spark, d, t) for t in ("file_history", "index_runs", "file_listing"))
     capture = changelog.file_capture(spark, work_path(spark, "file-log"))
@@ -90,7 +81,7 @@ def p5_two_runs(spark: SparkSession, d: str) -> DataFrame:
     return changelog.changed_files(changelog.stored_files(log.limit(0) if captured is None else captured, runs), listing)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_keys_now": p1_keys_now, "p1_keys_maintained": p1_keys_maintained, "p2_found": p2_found, "p2_totals": p2_totals, "p4_found": p4_found, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_keys_now": p1_keys_now, "p1_keys_maintained": p1_keys_maintained, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
 
 _NORMAL = """CASE WHEN starts_with(module_key.id, '/') THEN coalesce(nullif(list_reduce(list_filter(string_split(module_key.id, '/'), lambda x: x <> '' AND x <> '.'),
   lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END, ''), ''), '/') ELSE module_key.id END"""
@@ -127,11 +118,6 @@ ORACLES = {
         WHERE n_refs > 0 AND n_live = 0 AND kt IS NOT NULL AND ki IS NOT NULL AND kn IS NOT NULL AND kf IS NOT NULL""",
     "p2_found": f"{_P2} SELECT field_name, key_value FROM totals WHERE key_value IS NOT NULL AND n_entries * 50 > (SELECT count(*) FROM once)",
     "p2_totals": f"{_P2} SELECT * FROM totals",
-    "p4_found": """WITH e AS (SELECT DISTINCT entry_id, CAST(module_key.module_source_type AS VARCHAR) || '|' || module_key.id g, symbol_name, coalesce(import_count, 0) c FROM symbol_entries),
-        t AS (SELECT DISTINCT term_id, prefix, term, greatest(coalesce(value, 0), coalesce(highest_child_value_at_or_beneath, 0)) c FROM trie_terms)
-        SELECT 'symbol_entries' group_table, g group_key, entry_id item_id FROM e QUALIFY row_number() OVER (PARTITION BY g ORDER BY c DESC, symbol_name NULLS LAST, entry_id) <= 3
-        UNION ALL
-        SELECT 'trie_terms', prefix, term_id FROM t QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY c DESC, length(term) NULLS LAST, term NULLS LAST, term_id) <= 3""",
     "p5_found": r"""WITH good AS (SELECT DISTINCT run_id FROM index_runs WHERE lower(status) = 'ok'),
         h AS (SELECT run_id, regexp_replace(root_dir, '/+$', '') root_dir, path, coalesce(removed, false) removed, coalesce(file_timestamp, 0) ts
           FROM file_history SEMI JOIN good USING (run_id) WHERE path NOT LIKE '%/'),

@@ -37,7 +37,7 @@ def duck():
 
 def test_registry():
     assert set(SQL) <= set(CORE)
-    assert {"p1_found", "p2_found", "p4_found", "p5_found"} <= set(CORE)
+    assert {"p1_found", "p2_found", "p5_found"} <= set(CORE)
 
 
 @needs_data

@@ -1,4 +1,4 @@
-"""The operators behind p1, p2, p4 and p5 on small rows: nulls, ties, repeats, empty tables, hot keys, failures."""
+"""The operators behind p1, p2 and p5 on small rows: nulls, ties, repeats, empty tables, hot keys, failures."""
 
 import random
 from datetime import datetime, timedelta
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import session
-from codeloom.operators import changelog, keytotals, orphans, topn
+from codeloom.operators import changelog, keytotals, orphans
 
 T0 = datetime(2024, 1, 1)
 REF = "kind string, key_type int, key_id string, key_name string, key_itself boolean, ref_table string, ref_id bigint, ref_ts timestamp_ntz"
@@ -85,25 +85,6 @@ def test_key_totals_of_nothing(spark):
     assert keytotals.heavy_keys(totals, 2).count() == 0
 
 
-def test_top_n(spark):
-    rng = random.Random(1)
-    rows = [(rng.choice(["a", "a", "b", None]), n, rng.choice([None, 1, 2, 2]), rng.choice(["x", "é", "Z", None])) for n in range(200)]
-    df = spark.createDataFrame(rows * 3, "g string, i bigint, s bigint, name string").withColumn("rank", F.lit("clash"))
-    got = {}
-    for x in topn.top_n(df, F.col("g"), F.col("i"), [(F.col("s"), True), (F.col("name"), False)], 3).collect():
-        got.setdefault(x["group_key"], {})[x["rank"]] = x["item_id"]
-    for g in {r[0] for r in rows}:
-        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[3] is None, (r[3] or "").encode(), r[1]))
-        assert got[g] == {k + 1: r[1] for k, r in enumerate(own[:3])}
-    assert topn.top_n(df.limit(0), F.col("g"), F.col("i"), [(F.col("s"), True)], 3).count() == 0
-
-
-def test_top_n_cuts_before_the_shuffle_by_group(spark):
-    df = spark.range(10).select("id", (F.col("id") % 2).alias("g"))
-    plan = topn.top_n(df, F.col("g"), F.col("id"), [(F.col("id"), True)], 3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
-
-
 class Boom(Exception):
     pass
 
