@@ -59,38 +59,51 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return _named(_key_totals(spark, d), F.col("n_rows").alias("n_entries"), F.col("n_partners").alias("n_others"), F.col("total").alias("sum_import_count"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    history, runs, listing = (table(spark, d, t) for t in ("file_history", "index_runs", "file_listing"))
-    capture = changelog.file_capture(spark, work_path(spark, "file-log"))
-    log = changelog.file_log(history)
-    capture.run(log)
+def _changed(capture: changelog.ChangeCapture, runs: DataFrame, listing: DataFrame) -> DataFrame:
     captured = capture.captured()
-    stored = changelog.stored_files(log.limit(0) if captured is None else captured, runs)
+    stored = listing.select("root_dir", "path", F.lit(0.0).alias("file_timestamp")).limit(0) if captured is None else changelog.stored_files(captured, runs)
     return changelog.changed_files(stored, listing)
 
 
-def p5_two_runs(spark: SparkSession, d: str) -> DataFrame:
-    """p5_found with the log captured in two runs, the second of which reads only what the first did not have."""
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    runs, listing = table(spark, d, "index_runs"), table(spark, d, "file_listing")
+    capture = changelog.file_capture(spark, work_path(spark, "file-log"), f"{d}/file_history.parquet", runs)
+    capture.catch_up()
+    return _changed(capture, runs, listing)
+
+
+def p5_three_runs(spark: SparkSession, d: str) -> DataFrame:
+    """p5_found with the records arriving in three deliveries that mix early and late ones, and a run after each; the second run
+    is lost after it has written and is repeated. Each run reads the files of its own delivery."""
     history, runs, listing = (table(spark, d, t) for t in ("file_history", "index_runs", "file_listing"))
-    capture = changelog.file_capture(spark, work_path(spark, "file-log"))
-    log = changelog.file_log(history)
-    last = log.agg(F.max("history_id")).first()[0] or 0
-    capture.run(log.filter(F.col("history_id") <= last // 2))
-    capture.run(log)
-    captured = capture.captured()
-    return changelog.changed_files(changelog.stored_files(log.limit(0) if captured is None else captured, runs), listing)
+    log, work = work_path(spark, "deliveries"), work_path(spark, "file-log")
+
+    def lost(step: str) -> None:
+        if step == "written":
+            raise InterruptedError
+
+    for k in range(3):
+        history.filter(F.pmod(F.xxhash64("history_id", "run_id"), F.lit(3)) == k).write.mode("append").parquet(log)
+        capture = changelog.file_capture(spark, work, log, runs, fold_every=2)
+        if k == 1:
+            try:
+                capture.run(lost)
+            except InterruptedError:
+                capture = changelog.file_capture(spark, work, log, runs, fold_every=2)
+        capture.catch_up()
+    return _changed(capture, runs, listing)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_keys_now": p1_keys_now, "p1_keys_maintained": p1_keys_maintained, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_keys_now": p1_keys_now, "p1_keys_maintained": p1_keys_maintained, "p2_found": p2_found, "p2_totals": p2_totals, "p5_found": p5_found, "p5_three_runs": p5_three_runs}
 
 _NORMAL = """CASE WHEN starts_with(module_key.id, '/') THEN coalesce(nullif(list_reduce(list_filter(string_split(module_key.id, '/'), lambda x: x <> '' AND x <> '.'),
   lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END, ''), ''), '/') ELSE module_key.id END"""
 
 _P1_REFS = f"""refs AS (
-  SELECT DISTINCT 'symbol_entries' ref_table, entry_id ref_id, added_at ts, 'module' kind, module_key.module_source_type kt, module_key.id ki, '' kn, false kf
+  SELECT DISTINCT 'symbol_entries' ref_table, entry_id ref_id, added_at ts, removed_at gone, 'module' kind, module_key.module_source_type kt, module_key.id ki, '' kn, false kf
   FROM symbol_entries WHERE NOT (coalesce(not_yet_found_in_module, false) AND coalesce(import_count, 0) <= 0)
   UNION ALL
-  SELECT DISTINCT 'symbol_aliases', alias_id, recorded_at, 'entry', module_key.module_source_type, {_NORMAL}, real_name, is_module_itself
+  SELECT DISTINCT 'symbol_aliases', alias_id, recorded_at, CAST(NULL AS TIMESTAMP), 'entry', module_key.module_source_type, {_NORMAL}, real_name, is_module_itself
   FROM symbol_aliases WHERE coalesce(import_count, 0) > 0),
 targets AS (
   SELECT 'module' kind, module_key.module_source_type kt, module_key.id ki, '' kn, false kf, first_seen_at b, removed_at e FROM (SELECT DISTINCT * FROM modules)
@@ -113,7 +126,7 @@ ORACLES = {
     "p1_found": f"{_P1} SELECT * FROM out",
     "p1_report": f"{_P1} SELECT ref_table, ref_month, status, count(*) n_orphans FROM out GROUP BY 1, 2, 3",
     "p1_keys_now": f"""WITH {_P1_REFS}, sums AS (SELECT kind, kt, ki, kn, kf, sum(r) n_refs, sum(l) n_live FROM (
-        SELECT kind, kt, ki, kn, kf, 1 r, 0 l FROM refs UNION ALL SELECT kind, kt, ki, kn, kf, 0, CASE WHEN b IS NOT NULL AND e IS NULL THEN 1 ELSE 0 END FROM targets) GROUP BY 1, 2, 3, 4, 5)
+        SELECT kind, kt, ki, kn, kf, 1 r, 0 l FROM refs WHERE ts IS NOT NULL AND gone IS NULL UNION ALL SELECT kind, kt, ki, kn, kf, 0, CASE WHEN b IS NOT NULL AND e IS NULL THEN 1 ELSE 0 END FROM targets) GROUP BY 1, 2, 3, 4, 5)
         SELECT kind, kt key_type, ki key_id, kn key_name, kf key_itself, CAST(n_refs AS BIGINT) n_refs, CAST(n_live AS BIGINT) n_live FROM sums
         WHERE n_refs > 0 AND n_live = 0 AND kt IS NOT NULL AND ki IS NOT NULL AND kn IS NOT NULL AND kf IS NOT NULL""",
     "p2_found": f"{_P2} SELECT field_name, key_value FROM totals WHERE key_value IS NOT NULL AND n_entries * 50 > (SELECT count(*) FROM once)",
@@ -128,4 +141,4 @@ ORACLES = {
         UNION ALL SELECT root_dir, path, 0 FROM stored ANTI JOIN listed USING (root_dir, path)""",
 }
 
-ORACLES |= {"p1_keys_maintained": ORACLES["p1_keys_now"], "p5_two_runs": ORACLES["p5_found"]}
+ORACLES |= {"p1_keys_maintained": ORACLES["p1_keys_now"], "p5_three_runs": ORACLES["p5_found"]}

@@ -29,19 +29,43 @@ def _brute(refs, targets):
     return out
 
 
-@pytest.mark.parametrize("slice_above", [10**6, 0])
-def test_orphans_against_brute_force(spark, slice_above):
+@pytest.mark.parametrize("rows_per_task", [10**6, 50, 2])
+def test_orphans_against_brute_force(spark, rows_per_task):
     rng = random.Random(3)
     key = lambda: ["m", rng.choice([3, 3, 1, None]), rng.choice(["a", "a", "a", "b", "c", None]), "", False]
     refs = [(*key(), "t", n, _day(rng.choice([None, *range(60)]))) for n in range(300)]
     targets = [(*key(), _day(rng.choice([None, *range(60)])), _day(rng.choice([None, *range(60)]))) for _ in range(12)]
     r = spark.createDataFrame(refs + refs[:50], REF).withColumn("live", F.lit("clash")).withColumn("total", F.lit(1))
     t = spark.createDataFrame(targets + targets[:5], TGT).withColumn("ts", F.lit("clash"))
-    got = {(x["ref_table"], x["ref_id"], x["status"]) for x in orphans.orphan_references(r, t, slice_above).collect()}
+    got = {(x["ref_table"], x["ref_id"], x["status"]) for x in orphans.orphan_references(r, t, rows_per_task).collect()}
     assert got == _brute(refs, targets)
     assert got
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_key_with_all_rows_in_one_microsecond_is_spread(spark, monkeypatch, copies):
+    seen = []
+    monkeypatch.setattr(orphans, "written", lambda df, name: seen.append(session.written(df, name)) or seen[-1])
+    key = [F.lit("m").alias("kind"), F.lit(3).alias("key_type"), F.lit("hot").alias("key_id"), F.lit("").alias("key_name"), F.lit(False).alias("key_itself")]
+    ids = F.lit(7).cast("bigint") if copies else F.col("id")
+    refs = spark.range(20_000).select(*key, F.lit("t").alias("ref_table"), ids.alias("ref_id"), F.lit(T0).cast("timestamp_ntz").alias("ref_ts"))
+    ended = spark.createDataFrame([("m", 3, "hot", "", False, T0 - timedelta(days=1), T0)] * 3, TGT)
+    got = orphans.orphan_references(refs, ended, 1000)
+    assert [(x["status"], x["n"]) for x in got.groupBy("status").agg(F.count("*").alias("n")).collect()] == [("deleted", 1 if copies else 20_000)]
+    sizes = [x["count"] for x in seen[0].groupBy("slice").count().collect()]
+    assert max(sizes) < 2000 and (copies or len(sizes) > 20)
+    live = spark.createDataFrame([("m", 3, "hot", "", False, T0, None)], TGT)
+    assert orphans.orphan_references(refs, live, 1000).count() == 0
+
+
+def test_tasks_follow_the_rows(spark):
+    r, t = spark.createDataFrame([], REF), spark.createDataFrame([], TGT)
+    many = spark.range(3000).select(F.lit("m").alias("kind"), F.lit(3).alias("key_type"), F.col("id").cast("string").alias("key_id"), F.lit("").alias("key_name"), F.lit(False).alias("key_itself"), F.lit("t").alias("ref_table"), F.col("id").alias("ref_id"), F.lit(T0).cast("timestamp_ntz").alias("ref_ts"))
+    for refs, per_task, tasks in ((r, 10, 4), (many, 1000, 4), (many, 100, 30)):
+        plan = orphans.orphan_references(refs, t, per_task)._jdf.queryExecution().executedPlan().toString()
+        assert f"hashpartitioning(key_hash" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
 def test_orphans_of_empty_tables(spark):
     r, t = spark.createDataFrame([], REF), spark.createDataFrame([], TGT)
     assert orphans.orphan_references(r, t).count() == 0
@@ -58,6 +82,18 @@ def test_signed_deltas_equal_recount(spark):
     assert orphans.apply_deltas(gone, spark.createDataFrame([(*k, -3, 0)], cols)).count() == 0
 
 
+def test_keys_now_with_references_that_end(spark):
+    k, day = ("m", 3, "x", "", False), timedelta(days=1)
+    other = ("m", 3, "y", "", False)
+    refs = spark.createDataFrame([(*k, "t", 1, T0, None), (*k, "t", 2, T0, T0 + day), (*k, "t", 3, T0, T0), (*k, "t", 4, None, None), (*other, "t", 5, T0, T0 + day)], REF + ", ref_end timestamp_ntz")
+    targets = spark.createDataFrame([(*k, T0, T0 + day), (*k, T0, T0), (*other, None, None)], TGT)
+    assert [(x["key_id"], x["n_refs"], x["n_live"]) for x in orphans.orphan_keys_now(refs, targets).collect()] == [("x", 1, 0)]
+    deltas = orphans.key_deltas(refs, targets)
+    first = orphans.apply_deltas(deltas.limit(0), deltas.filter(F.col("ts") <= F.lit(T0)))
+    assert {(x["key_id"], x["n_refs"], x["n_live"]) for x in first.collect()} == {("x", 2, 1), ("y", 1, 0)}
+    assert {(x["key_id"], x["n_refs"], x["n_live"]) for x in orphans.apply_deltas(first, deltas.filter(F.col("ts") > F.lit(T0))).collect()} == {("x", 1, 0)}
+
+
 @pytest.mark.parametrize(("path", "want"), [("/a//b/./c", "/a/b/c"), ("/a/../../b", "/b"), ("/..", "/"), ("a/../b", "a/../b"), ("/a/b/", "/a/b"), ("/a/..b/.c", "/a/..b/.c"), ("", ""), (None, None)])
 def test_normal_path(spark, path, want):
     assert spark.createDataFrame([(path,)], "p string").select(orphans.normal_path(F.col("p"))).first()[0] == want
@@ -90,35 +126,113 @@ class Boom(Exception):
 
 
 LOG = "history_id bigint, root_dir string, path string, run_id bigint, removed boolean, file_timestamp double"
+RUNS = "run_id bigint, status string"
+
+
+def _at(step):
+    def fail(s):
+        if s == step:
+            raise Boom
+
+    return fail
+
+
+def _deliver(spark, log, rows):
+    spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(log)
+
+
+def _ids(cap):
+    return sorted(x["run_id"] for x in cap.captured().collect())
 
 
 def test_capture_survives_failures(spark, tmp_path):
-    def at(step):
-        def fail(s):
-            if s == step:
-                raise Boom
-        return fail
-
-    rows = [(n, "/r", f"/r/{n % 5}", n // 5, False, float(n)) for n in range(20)]
-    first, second = spark.createDataFrame(rows[:12], LOG), spark.createDataFrame(rows, LOG)
-    cap = changelog.file_capture(spark, f"file://{tmp_path}/log")
+    log, root, runs = f"file://{tmp_path}/a log", f"file://{tmp_path}/capture", spark.createDataFrame([], RUNS)
+    # the run_id, used as an identifier here, follows no order at all
+    rows = [(None, "/r", f"/r/{n % 5}", 7 * n % 20, False, float(n)) for n in range(20)]
+    cap = changelog.file_capture(spark, root, log, runs)
     assert cap.captured() is None
+    _deliver(spark, log, rows[:12])
     with pytest.raises(Boom):
-        cap.run(first, at("planned"))
+        cap.run(_at("planned"))
     assert cap.captured() is None
-    assert cap.run(second) == 0  # replays the old plan although the log has grown
-    assert sorted(x["history_id"] for x in cap.captured().collect()) == list(range(12))
+    _deliver(spark, log, rows[12:])
+    assert cap.run() == 0  # repeats the old plan although the log has grown
+    assert _ids(cap) == sorted(7 * n % 20 for n in range(12))
+    with pytest.raises(Boom):
+        cap.run(_at("written"))
+    assert len(_ids(cap)) == 12
+    again = changelog.file_capture(spark, root, log, runs)
+    assert again.run() == 1
+    assert _ids(again) == list(range(20))
+    assert again.run() is None
+
+
+def test_a_run_reads_only_what_is_new(spark, tmp_path):
+    log, runs = f"file://{tmp_path}/log", spark.createDataFrame([], RUNS)
+    cap = changelog.file_capture(spark, f"file://{tmp_path}/capture", log, runs)
+    _deliver(spark, log, [(n, "/r", f"/r/{n}", n, False, 1.0) for n in range(100)])
+    first = cap.rows(cap.plan()[1]).inputFiles()
+    cap.run()
+    _deliver(spark, log, [(n, "/r", f"/r/{n}", n, False, 1.0) for n in (5, 3, 200)])  # repeats, late and new
+    plan = cap.plan()[1]
+    assert [(f["lo"], f["hi"]) for f in plan] == [(0, 3)]
+    assert not set(first) & set(cap.rows(plan).inputFiles())
+    cap.run()
+    assert len(_ids(cap)) == 103
+
+
+def test_files_that_grow_shrink_and_come_in_parts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def put(name, n):
+        t = {"history_id": list(range(n)), "root_dir": ["/r"] * n, "path": [f"{name}{k}" for k in range(n)], "run_id": list(range(n)), "removed": [False] * n, "file_timestamp": [1.0] * n}
+        pq.write_table(pa.table(t), tmp_path / "log" / f"{name}.parquet")
+
+    (tmp_path / "log").mkdir()
+    cap = changelog.file_capture(spark, f"file://{tmp_path}/capture", f"file://{tmp_path}/log", spark.createDataFrame([], RUNS), max_files=2)
+    assert cap.run() is None
+    for name in "abc":
+        put(name, 3)
+    assert cap.catch_up() == 2
+    assert len(_ids(cap)) == 9
+    put("b", 5)
+    with pytest.raises(Boom):
+        cap.run(_at("planned"))
+    put("b", 8)
+    cap.run()
+    assert len(_ids(cap)) == 11  # the plan's range, though the file is longer by now
+    cap.run()
+    assert len(_ids(cap)) == 14
+    put("b", 2)
+    with pytest.raises(ValueError, match="lost rows"):
+        cap.run()
+
+
+def test_folding_keeps_what_may_still_count(spark, tmp_path):
+    log, root = f"file://{tmp_path}/log", f"file://{tmp_path}/capture"
+    before = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, None)], RUNS)
+    after = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, "Ok"), (3, "Ok")], RUNS)
+    cap = changelog.file_capture(spark, root, log, before, fold_every=2)
+    _deliver(spark, log, [(1, "/r", "/r/a", 1, False, 1.0), (2, "/r", "/r/a", 3, True, None), (3, "/r", "/r/b", 2, False, 2.0)])
+    cap.run()
+    _deliver(spark, log, [(4, "/r", "/r/a", 2, False, 4.0), (5, "/r", "/r/b", 1, None, 9.0), (6, "/r", "/r/b", None, False, 1.0), (4, "/r", "/r/a", 2, False, 4.0)])
     with pytest.raises(Boom):
-        cap.run(second, at("written"))
-    assert cap.captured().count() == 12
-    again = changelog.file_capture(spark, f"file://{tmp_path}/log")
-    assert again.run(second) == 1
-    assert sorted(x["history_id"] for x in again.captured().collect()) == list(range(20))
-    assert again.run(second) is None
+        cap.run(_at("committed"))
+    cap = changelog.file_capture(spark, root, log, before, fold_every=2)
+    stored = lambda runs: {tuple(x) for x in changelog.stored_files(cap.captured(), runs).collect()}
+    assert stored(before) == {("/r", "/r/a", 4.0), ("/r", "/r/b", 2.0)}
+    for _ in range(2):
+        _deliver(spark, log, [(7, "/r", "/r/c", 1, False, 1.0)])
+        cap.run()
+    assert cap._numbers("states") == [3]
+    assert sorted((x["path"], x["run_id"]) for x in cap.captured().collect()) == [("/r/a", 2), ("/r/a", 3), ("/r/b", 2), ("/r/c", 1)]
+    assert stored(before) == {("/r", "/r/a", 4.0), ("/r", "/r/b", 2.0), ("/r", "/r/c", 1.0)}
+    assert stored(after) == {("/r", "/r/b", 2.0), ("/r", "/r/c", 1.0)}
 
 
 def test_changed_files(spark, tmp_path):
-    runs = spark.createDataFrame([(1, "OK"), (2, "failed"), (3, "ok"), (3, "ok"), (4, None)], "run_id bigint, status string")
+    runs = spark.createDataFrame([(1, "OK"), (2, "failed"), (3, "ok"), (3, "ok"), (4, None)], RUNS)
     log = [
         (1, "/r/", "/r/same", 1, False, 5.0), (2, "/r", "/r/newer", 1, None, 5.0), (3, "/r", "/r/newer", 2, False, 50.0), (4, "/r", "/r/gone", 3, False, 1.0),
         (5, "/r", "/r/removed", 1, False, 1.0), (6, "/r//", "/r/removed", 3, True, None), (7, "/r", "/r/dir/", 1, False, 1.0), (8, "/r", "/r/gone", 3, False, 1.0), (9, "/r", "/r/unknown", 9, False, 1.0),
@@ -126,9 +240,9 @@ def test_changed_files(spark, tmp_path):
     listing = [("/r", "/r/same", False, 5.0), ("/r/", "/r/same", False, 4.0), ("/r", "/r/newer", None, 6.0), ("/r", "/r/fresh", False, 1.0), ("/r", "/r/never", False, None), ("/r", "/r/d", True, 9.0), ("/r2", "/r/same", False, 1.0)]
     listing += [(None, "/r/x", False, 9.0), ("/r", None, False, 9.0)]
     log += [(10, None, "/r/y", 1, False, 1.0), (11, "/r", None, 1, False, 1.0), (12, "/r", "/r/z", None, False, 1.0)]
-    h = changelog.file_log(spark.createDataFrame(log, LOG))
-    cap = changelog.file_capture(spark, f"file://{tmp_path}/files")
-    cap.run(h)
+    _deliver(spark, f"file://{tmp_path}/log", log)
+    cap = changelog.file_capture(spark, f"file://{tmp_path}/files", f"file://{tmp_path}/log", runs)
+    cap.run()
     got = {tuple(x) for x in changelog.changed_files(changelog.stored_files(cap.captured(), runs), spark.createDataFrame(listing, "root_dir string, path string, is_dir boolean, mtime double")).collect()}
     assert got == {("/r", "/r/newer", 1), ("/r", "/r/fresh", 1), ("/r", "/r/gone", 0), ("/r2", "/r/same", 1)}
 
