@@ -28,10 +28,9 @@ def accumulated(adds: DataFrame) -> DataFrame:
     )
 
 
-def prefixes(terms: DataFrame, shortest: int = 1, longest: int | None = None) -> DataFrame:
-    """prefix, term, value for the prefixes of each term with shortest to longest characters (the term itself included)."""
-    upto = F.length("term") if longest is None else F.least(F.length("term"), F.lit(longest))
-    n = F.explode(F.when(upto >= shortest, F.sequence(F.lit(shortest), upto)).otherwise(F.array())).alias("n")
+def prefixes(terms: DataFrame) -> DataFrame:
+    """prefix, term, value for every prefix of each term, the term itself included. The empty term has none."""
+    n = F.explode(F.when(F.length("term") > 0, F.sequence(F.lit(1), F.length("term"))).otherwise(F.array())).alias("n")
     return terms.select("term", "value", n).select(F.expr("substring(term, 1, n)").alias("prefix"), "term", "value")
 
 
@@ -40,10 +39,9 @@ def _best() -> Column:
     return F.struct((-F.col("value")).alias("v"), F.length("term").alias("n"), "term")
 
 
-def best_by_prefix(terms: DataFrame, shortest: int, longest: int | None = None) -> DataFrame:
-    """prefix, term, value: the best term under every prefix of so many characters, without longest under every prefix there is.
-    A minimum, so combined on the map side."""
-    best = prefixes(terms, shortest, longest).groupBy("prefix").agg(F.min(_best()).alias("b"))
+def best_by_prefix(terms: DataFrame) -> DataFrame:
+    """prefix, term, value: the best term under every prefix there is. A minimum, so combined on the map side."""
+    best = prefixes(terms).groupBy("prefix").agg(F.min(_best()).alias("b"))
     return best.select("prefix", F.col("b.term").alias("term"), (-F.col("b.v")).alias("value"))
 
 
@@ -53,13 +51,14 @@ def best_under(terms: DataFrame, prefix: str) -> DataFrame:
     return under.orderBy(F.desc("value"), F.length("term"), "term").limit(1).select("term", "value")
 
 
-def max_under(terms: DataFrame, wanted: DataFrame, longest: int | None = None) -> DataFrame:
-    """prefix, value: the largest value under each wanted prefix (of at most longest characters if given), 0 where nothing is under
-    it."""
-    if longest is None:
-        longest = wanted.agg(F.max(F.length("prefix"))).first()[0] or 0
-    known = prefixes(terms, 1, longest).groupBy("prefix").agg(F.max("value").alias("value"))
-    return wanted.select("prefix").distinct().join(known, "prefix", "left").select("prefix", F.coalesce("value", F.lit(0)).alias("value"))
+def max_under(terms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """prefix, value: the largest value under each wanted prefix, 0 where nothing is under it. Terms are cut to the lengths that are
+    wanted, of which there are at most as many as the longest wanted prefix has characters."""
+    asked = wanted.select("prefix").filter("prefix IS NOT NULL").distinct()
+    lengths = sorted(r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect())
+    cut = terms.select("term", "value", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).filter(F.col("n") <= F.length("term"))
+    known = cut.groupBy(F.expr("substring(term, 1, n)").alias("prefix")).agg(F.max("value").alias("value"))
+    return asked.join(known, "prefix", "left").select("prefix", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def pruned(terms: DataFrame, least: int) -> DataFrame:
@@ -88,12 +87,11 @@ def children(paths: DataFrame, directory: str) -> DataFrame:
     )
 
 
-def tree(terms: DataFrame, longest: int | None = None) -> DataFrame:
+def tree(terms: DataFrame) -> DataFrame:
     """The prefix tree as rows: prefix, end_point (a term ends here), value of that term, highest value at or beneath, and the
-    next character towards it (null where the best term ends). Prefixes of at most longest characters; without it every term has
-    its end."""
+    next character towards it (null where the best term ends). Every term has its end in it."""
     at_end = F.col("prefix") == F.col("term")
-    nodes = prefixes(terms, 1, longest).groupBy("prefix").agg(
+    nodes = prefixes(terms).groupBy("prefix").agg(
         F.max(at_end).alias("end_point"), F.max(F.when(at_end, F.col("value"))).alias("value"), F.max("value").alias("highest"), F.min(_best()).alias("b")
     )
     step = F.expr("substring(b.term, length(prefix) + 1, 1)")

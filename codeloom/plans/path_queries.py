@@ -27,7 +27,7 @@ def path_names(spark, d):
     p = F.col("id")
     ids = table(spark, d, "modules").select("module_key.id").filter("id LIKE '/%'").distinct()
     return ids.select(
-        "id", paths.module_basename(p).alias("module"), paths.shorten_path(p).alias("short"), paths.directory(p).alias("directory"), paths.dotted_module(F.substring(p, 2, 10_000)).alias("dotted"),
+        "id", paths.module_basename(p).alias("module"), paths.shorten_path(p).alias("short"), paths.directory(p).alias("directory"), paths.dotted_module(F.expr("substring(id, 2)")).alias("dotted"),
         paths.is_python_file(p).alias("is_python"), paths.strip_underscores(paths.module_basename(p)).alias("public_name"), F.size(paths.ancestors(p)).alias("depth"),
     )
 
@@ -74,8 +74,23 @@ def history_upsert(spark, d):
     return history.upsert(_stored(spark, d), seen)
 
 
+def _module_paths(spark, d):
+    return table(spark, d, "modules").select(F.col("module_key.id").alias("path")).filter("path LIKE '/%'")
+
+
 def package_files(spark, d):
-    return history.package_files(table(spark, d, "modules").select(F.col("module_key.id").alias("path")).distinct())
+    """What walks from every folder above a module meet."""
+    m = _module_paths(spark, d)
+    roots = m.select(F.explode(paths.beginnings(paths.directory(F.col("path")))).alias("root")).distinct()
+    return history.package_files(m, roots)
+
+
+def full_module_names(spark, d):
+    return history.full_module_names(_module_paths(spark, d))
+
+
+def modules_under(spark, d):
+    return history.modules_under(_module_paths(spark, d), "/srv/code", ["/tools/", "_pe"])
 
 
 def update_log_report(spark, d):
@@ -128,12 +143,13 @@ def request_router(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (path_names, file_distance, location_routing, relative_names, import_text, snapshot_diff, removed_paths, history_upsert, package_files, update_log_report, kleene_tables, fuzzy_instance_of, column_operators, item_access, number_literals, request_router)
+    for f in (path_names, file_distance, location_routing, relative_names, import_text, snapshot_diff, removed_paths, history_upsert, package_files, full_module_names, modules_under, update_log_report, kleene_tables, fuzzy_instance_of, column_operators, item_access, number_literals, request_router)
 }
 
 _LISTED = "listed AS (SELECT path, bool_or(coalesce(is_dir, false)) AS is_dir, max(coalesce(mtime, 0)) AS mtime FROM file_listing WHERE path IS NOT NULL GROUP BY path), files AS (SELECT * FROM listed WHERE NOT is_dir AND path NOT LIKE '%/')"
 _STORED = "stored AS (SELECT path, max(file_timestamp) AS ts FROM file_history WHERE path NOT LIKE '%/' AND NOT removed AND file_timestamp IS NOT NULL GROUP BY path)"
 _UP = "list_transform(range(1, len(string_split(dir, '/')) + 1), lambda i: array_to_string(list_slice(string_split(dir, '/'), 1, i), '/') || '/')"
+_FILES = r"m AS (SELECT DISTINCT module_key.id AS path, regexp_extract(module_key.id, '^(.*)/[^/]*$', 1) AS dir FROM modules WHERE module_key.id LIKE '/%'), f AS (SELECT * FROM m WHERE regexp_matches(path, '\.pyi?$'))"
 _BASE = r"CASE WHEN regexp_matches({0}, '(^|/)__init__\.pyi?$') THEN coalesce(list_extract(string_split({0}, '/'), -2), '') ELSE split_part(list_extract(string_split({0}, '/'), -1), '.', 1) END"
 
 ORACLES = {
@@ -154,8 +170,14 @@ ORACLES = {
     "removed_paths": f"""WITH {_LISTED}, {_STORED}, gone AS (SELECT path FROM stored ANTI JOIN files USING (path)), g AS (SELECT DISTINCT unnest({_UP}) AS path FROM (SELECT regexp_replace(path, '/[^/]*/?$', '') AS dir FROM gone)),
         f AS (SELECT DISTINCT unnest({_UP}) AS path FROM (SELECT regexp_replace(path, '/[^/]*/?$', '') AS dir FROM files)) SELECT path FROM gone UNION ALL SELECT path FROM g ANTI JOIN f USING (path)""",
     "history_upsert": f"WITH {_STORED} SELECT path, ts FROM (SELECT path, ts, -1 AS seq FROM stored UNION ALL SELECT path, coalesce(mtime, 0), epoch_us(listed_at) FROM file_listing WHERE path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, ts DESC) = 1",
-    "package_files": r"""WITH f AS (SELECT DISTINCT module_key.id AS path, regexp_extract(module_key.id, '^(.*)/[^/]*$', 1) AS dir FROM modules) SELECT path FROM f WHERE regexp_matches(path, '\.pyi?$') AND NOT contains(path, '/.git/')
-        AND dir IN (SELECT dir FROM f WHERE regexp_matches(path, '/__init__\.pyi?$'))""",
+    "package_files": rf"""WITH RECURSIVE {_FILES}, packages AS (SELECT DISTINCT dir, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent FROM f WHERE ends_with(path, '/__init__.py') AND NOT ends_with(dir, '/.git')),
+        roots AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda i: array_to_string(list_slice(string_split(dir, '/'), 1, i), '/'))) AS root FROM m),
+        walk AS (SELECT root, root AS folder FROM roots UNION ALL SELECT root, dir FROM walk JOIN packages ON parent = folder) SELECT root, path FROM walk JOIN f ON dir = folder""",
+    "full_module_names": rf"""WITH RECURSIVE {_FILES}, packages AS (SELECT DISTINCT dir FROM f WHERE ends_with(path, '/__init__.py') AND NOT ends_with(dir, '/.git')),
+        climb AS (SELECT path, dir AS folder, coalesce(nullif(regexp_replace(list_extract(string_split(path, '/'), -1), '\.[^.]*$', ''), '__init__'), '') AS name FROM f
+          UNION ALL SELECT path, regexp_extract(folder, '^(.*)/[^/]*$', 1), list_extract(string_split(folder, '/'), -1) || CASE WHEN name = '' THEN '' ELSE '.' || name END FROM climb WHERE folder IN (SELECT dir FROM packages))
+        SELECT path, name AS full_name, folder AS package_root FROM climb WHERE folder NOT IN (SELECT dir FROM packages)""",
+    "modules_under": rf"WITH {_FILES} SELECT path FROM f WHERE starts_with(path, '/srv/code/') AND NOT contains(path, '/tools/') AND NOT contains(path, '_pe')",
     "update_log_report": "SELECT event_type AS action_type, CAST(ts AS DATE) AS day, count(*) AS n_actions FROM events GROUP BY 1, 2",
     "kleene_tables": "WITH t AS (SELECT unnest([true, NULL, false]) AS x) SELECT l.x AS a, r.x AS b, l.x AND r.x AS both, l.x OR r.x AS either, NOT l.x AS inverted FROM t l, t r",
     "fuzzy_instance_of": """WITH e AS (SELECT DISTINCT entry_id, module_key, CASE WHEN symbol_type NOT IN (4, 5) THEN symbol_type = 1 END AS x FROM symbol_entries),

@@ -35,15 +35,11 @@ def prefix_top1(spark, d):
 
 
 def prefix_top1_all(spark, d):
-    return terms.best_by_prefix(_names(spark, d), 2, 2)
+    return terms.best_by_prefix(_names(spark, d))
 
 
 def prefix_top1_terms(spark, d):
-    return terms.best_by_prefix(_terms(spark, d), 1, 6)
-
-
-def prefix_top1_terms_whole(spark, d):
-    return terms.best_by_prefix(_terms(spark, d), 1)
+    return terms.best_by_prefix(_terms(spark, d))
 
 
 def prefix_max_value(spark, d):
@@ -72,11 +68,6 @@ def trie_accumulate(spark, d):
 
 
 def trie_tree(spark, d):
-    return terms.tree(_terms(spark, d), 12)
-
-
-def trie_tree_whole(spark, d):
-    """The tree with all nodes; trie_tree has those of its SQL, of at most 12 characters."""
     return terms.tree(_terms(spark, d))
 
 
@@ -90,7 +81,7 @@ def subsequence_search(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (name_counts, name_counts_top, prefix_top1, prefix_top1_all, prefix_top1_terms, prefix_top1_terms_whole, prefix_max_value, prefix_prune, prefix_remove_subtree, prefix_remove_node, prefix_enumerate, trie_accumulate, trie_tree, trie_tree_whole, dir_children, subsequence_search)
+    for f in (name_counts, name_counts_top, prefix_top1, prefix_top1_all, prefix_top1_terms, prefix_max_value, prefix_prune, prefix_remove_subtree, prefix_remove_node, prefix_enumerate, trie_accumulate, trie_tree, dir_children, subsequence_search)
 }
 
 _TOKENS = "tokens AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) term FROM documents), names AS (SELECT term, count(*) AS value FROM tokens GROUP BY term)"
@@ -101,21 +92,16 @@ ORACLES = {
     "name_counts": f"WITH {_TOKENS} SELECT * FROM names",
     "name_counts_top": f"WITH {_TOKENS} SELECT * FROM names ORDER BY value DESC, term LIMIT 100",
     "prefix_top1": f"WITH {_TOKENS} SELECT * FROM names WHERE starts_with(term, 'th') ORDER BY value DESC, length(term), term LIMIT 1",
-    "prefix_top1_all": f"WITH {_TOKENS} SELECT term[1:2] AS prefix, term, value FROM names WHERE length(term) >= 2 QUALIFY row_number() OVER (PARTITION BY term[1:2] ORDER BY value DESC, length(term), term) = 1",
-    "prefix_top1_terms": f"WITH {_TERMS}, p AS (SELECT term[1:n] AS prefix, term, value FROM terms, range(1, 7) r(n) WHERE n <= length(term)) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY value DESC, length(term), term) = 1",
-    "prefix_top1_terms_whole": f"WITH {_TERMS}, p AS (SELECT term[1:n] AS prefix, term, value FROM (SELECT *, unnest(range(1, length(term) + 1)) AS n FROM terms)) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY value DESC, length(term), term) = 1",
-    "prefix_max_value": f"WITH {_TOKENS}, wanted AS (SELECT DISTINCT word AS prefix FROM common_words) SELECT prefix, coalesce(max(value), 0) AS value FROM wanted LEFT JOIN names ON starts_with(term, prefix) AND length(prefix) <= 8 GROUP BY prefix",
+    "prefix_top1_all": f"WITH {_TOKENS}, p AS (SELECT term[1:n] AS prefix, term, value FROM (SELECT *, unnest(range(1, length(term) + 1)) AS n FROM names)) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY value DESC, length(term), term) = 1",
+    "prefix_top1_terms": f"WITH {_TERMS}, p AS (SELECT term[1:n] AS prefix, term, value FROM (SELECT *, unnest(range(1, length(term) + 1)) AS n FROM terms)) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY value DESC, length(term), term) = 1",
+    "prefix_max_value": f"WITH {_TOKENS}, wanted AS (SELECT DISTINCT word AS prefix FROM common_words) SELECT prefix, coalesce(max(value), 0) AS value FROM wanted LEFT JOIN names ON starts_with(term, prefix) GROUP BY prefix",
     "prefix_prune": f"WITH {_TOKENS} SELECT * FROM names WHERE value >= 50",
     "prefix_remove_subtree": f"WITH {_TERMS} SELECT * FROM terms WHERE NOT starts_with(term, 'core.')",
     "prefix_remove_node": f"WITH {_TOKENS} SELECT * FROM names WHERE term <> 'the'",
     "prefix_enumerate": f"WITH {_TERMS} SELECT * FROM terms WHERE starts_with(term, 'cfg.')",
     "trie_accumulate": f"""WITH {_ADDS}, n AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY seq, term_id) i FROM adds), r AS (SELECT term, max(i) FILTER (NOT add_value) reset FROM n GROUP BY term)
         SELECT term, CAST(sum(value) AS BIGINT) AS value FROM n JOIN r USING (term) WHERE reset IS NULL OR i >= reset GROUP BY term""",
-    "trie_tree": f"""WITH {_TERMS}, p AS (SELECT term[1:n] AS prefix, term, value FROM terms, range(1, 13) r(n) WHERE n <= length(term)),
-        best AS (SELECT prefix, term FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY value DESC, length(term), term) = 1)
-        SELECT prefix, bool_or(p.term = prefix) AS end_point, max(CASE WHEN p.term = prefix THEN value END) AS value, max(value) AS highest, nullif(any_value(best.term)[length(prefix) + 1:length(prefix) + 1], '') AS child_char
-        FROM p JOIN best USING (prefix) GROUP BY prefix""",
-    "trie_tree_whole": f"""WITH {_TERMS}, p AS (SELECT term[1:n] AS prefix, term, value FROM (SELECT *, unnest(range(1, length(term) + 1)) AS n FROM terms)),
+    "trie_tree": f"""WITH {_TERMS}, p AS (SELECT term[1:n] AS prefix, term, value FROM (SELECT *, unnest(range(1, length(term) + 1)) AS n FROM terms)),
         best AS (SELECT prefix, term FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY value DESC, length(term), term) = 1)
         SELECT prefix, bool_or(p.term = prefix) AS end_point, max(CASE WHEN p.term = prefix THEN value END) AS value, max(value) AS highest, nullif(any_value(best.term)[length(prefix) + 1:length(prefix) + 1], '') AS child_char
         FROM p JOIN best USING (prefix) GROUP BY prefix""",

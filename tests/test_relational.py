@@ -14,15 +14,15 @@ def _terms(spark, rows):
 
 def test_prefix_questions(spark):
     t = _terms(spark, [("ab", 3), ("abc", 3), ("abd", 5), ("b", 1), ("", 9), ("éa", 2)])
-    best = {r["prefix"]: (r["term"], r["value"]) for r in terms.best_by_prefix(t, 1, 3).collect()}
+    best = {r["prefix"]: (r["term"], r["value"]) for r in terms.best_by_prefix(t).collect()}
     assert best == {"a": ("abd", 5), "ab": ("abd", 5), "abc": ("abc", 3), "abd": ("abd", 5), "b": ("b", 1), "é": ("éa", 2), "éa": ("éa", 2)}
     assert [tuple(r) for r in terms.best_under(t, "a").collect()] == [("abd", 5)]
     assert terms.best_under(t, "zz").count() == 0
     wanted = spark.createDataFrame([("a",), ("q",), ("q",)], "prefix string")
-    assert sorted(tuple(r) for r in terms.max_under(t, wanted, 3).collect()) == [("a", 5), ("q", 0)]
+    assert sorted(tuple(r) for r in terms.max_under(t, wanted).collect()) == [("a", 5), ("q", 0)]
     tie = _terms(spark, [("abc", 3), ("ab", 3), ("aa", 3)])
     assert terms.best_under(tie, "a").first()["term"] == "aa"
-    tree = {r["prefix"]: tuple(r)[1:] for r in terms.tree(t.filter("term like 'a%'"), 9).collect()}
+    tree = {r["prefix"]: tuple(r)[1:] for r in terms.tree(t.filter("term like 'a%'")).collect()}
     assert tree == {"a": (False, None, 5, "b"), "ab": (True, 3, 5, "d"), "abc": (True, 3, 3, None), "abd": (True, 5, 5, None)}
 
 
@@ -44,7 +44,7 @@ def test_every_term_has_its_end(spark):
     nodes = terms.tree(t).collect()
     assert {r["prefix"]: r["value"] for r in nodes if r["end_point"]} == {r["term"]: r["value"] for r in t.collect()}
     assert len(nodes) == 28 + 1 + 40
-    assert {r["prefix"] for r in terms.best_by_prefix(t, 1).collect()} == {r["prefix"] for r in nodes}
+    assert {r["prefix"] for r in terms.best_by_prefix(t).collect()} == {r["prefix"] for r in nodes}
 
 
 def test_accumulate(spark):
@@ -158,5 +158,23 @@ def test_snapshots(spark):
     seen = spark.createDataFrame([("/r/a", 9.0, 1), ("/r/a", 8.0, 2), ("/r/z", 1.0, 1)], "path string, ts double, seq int")
     up = {r["path"]: r["ts"] for r in history.upsert(stored, seen).collect()}
     assert up["/r/a"] == 8.0 and up["/r/z"] == 1.0 and up["/r/b"] == 5.0
-    p = spark.createDataFrame([("/p/__init__.py",), ("/p/a.py",), ("/q/b.py",), ("/p/.git/c.py",), ("/p/x.txt",)], "path string")
-    assert {r[0] for r in history.package_files(p).collect()} == {"/p/__init__.py", "/p/a.py"}
+    assert history.upsert(stored.limit(0), seen.limit(0)).count() == 0
+
+
+def test_package_walk(spark):
+    every = ["/r/top.py", "/r/pkg/__init__.py", "/r/pkg/m.py", "/r/pkg/sub/__init__.py", "/r/pkg/sub/x.pyi", "/r/pkg/plain/y.py", "/r/notpkg/pkg/__init__.py", "/r/notpkg/pkg/m.py", "/r/.git/__init__.py", "/r/pkg/t.txt", "rel/__init__.py", "rel/a.b.py", "z.py"]
+    listing = spark.createDataFrame([(x,) for x in [*every, *every[:3], None]], "path string").withColumn("dir", F.lit("clash"))
+    got = {}
+    for r in history.package_files(listing, spark.createDataFrame([("/r",), ("/r/pkg",), ("/r/notpkg",), ("/r/pkg/plain",), ("/x",), ("/r",)], "root string")).collect():
+        got.setdefault(r["root"], []).append(r["path"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "/r": ["/r/pkg/__init__.py", "/r/pkg/m.py", "/r/pkg/sub/__init__.py", "/r/pkg/sub/x.pyi", "/r/top.py"], "/r/pkg": ["/r/pkg/__init__.py", "/r/pkg/m.py", "/r/pkg/sub/__init__.py", "/r/pkg/sub/x.pyi"],
+        "/r/notpkg": ["/r/notpkg/pkg/__init__.py", "/r/notpkg/pkg/m.py"], "/r/pkg/plain": ["/r/pkg/plain/y.py"],
+    }
+    names = {r["path"]: (r["full_name"], r["package_root"]) for r in history.full_module_names(listing).collect()}
+    assert names["/r/pkg/sub/x.pyi"] == ("pkg.sub.x", "/r") and names["/r/pkg/sub/__init__.py"] == ("pkg.sub", "/r") and names["/r/top.py"] == ("top", "/r")
+    assert names["/r/notpkg/pkg/m.py"] == ("pkg.m", "/r/notpkg") and names["/r/pkg/plain/y.py"] == ("y", "/r/pkg/plain") and names["/r/.git/__init__.py"] == ("", "/r/.git")
+    assert names["rel/a.b.py"] == ("rel.a.b", "") and names["z.py"] == ("z", "") and len(names) == len(every) - 1
+    assert sorted(r[0] for r in history.modules_under(listing, "/r/", ["notpkg", ".git", "sub"]).collect()) == ["/r/pkg/__init__.py", "/r/pkg/m.py", "/r/pkg/plain/y.py", "/r/top.py"]
+    none = listing.limit(0)
+    assert history.package_files(none, none.select(F.col("path").alias("root"))).count() == history.full_module_names(none).count() == 0
