@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import code, fixing, terms
+from codeloom.operators import code, fixing
 from codeloom.sources import files as source_files
 from codeloom.streaming import service
 
@@ -37,7 +37,7 @@ def main() -> None:
     spark = SparkSession.builder.appName("codeloom").getOrCreate()
     files = _files(spark, a.root)
     if a.command == "counts":
-        terms.counted(code.name_tokens(files)).orderBy(F.desc("value"), "term").write.mode("overwrite").parquet(a.out)
+        code.name_counts(files).orderBy(F.desc("value"), "term").write.mode("overwrite").parquet(a.out)
         return
     x = code.extract(files)
     if a.command == "serve":
@@ -47,7 +47,7 @@ def main() -> None:
     named = x.files.select("file_id", "path")
     out = {
         "index": lambda: _index(x),
-        "missing": lambda: code.missing_symbols(x.uses, code.resolved_imports(x.imports, x.files), x.exports).join(named, "file_id"),
+        "missing": lambda: code.missing_of(x),
         "exports": lambda: x.exports.join(named, "file_id"),
         "fix": lambda: fixing.fix_files(files, _index(x), x, location=a.root),
     }[a.command]()

@@ -33,7 +33,7 @@ class Value:
         return {"function": "function", "class": "type", "instance": self.name, "module": "module"}.get(self.kind)
 
     def text(self) -> str | None:
-        return (repr(self.value)[:200] if self.kind == "native" else self.name) if self.kind != "unknown" else None
+        return (repr(self.value) if self.kind == "native" else self.name) if self.kind != "unknown" else None
 
     def key(self) -> tuple:
         return (self.kind, self.type_name(), repr(self.value)) if self.kind == "native" else (self.kind, self.name if self.kind == "unknown" else id(self))
@@ -501,17 +501,43 @@ class Evaluator:
         return [native("".join(parts))]
 
     def _e_call(self, e, f):
-        args = [self.expr(a.value if isinstance(a, ast.Starred) else a, f) for a in e.args]
-        plain = not any(isinstance(a, ast.Starred) for a in e.args) and all(k.arg for k in e.keywords)
-        named = {k.arg: self.expr(k.value, f) for k in e.keywords}
-        return union(*(self.call(o, args if plain else None, named) for o in self.expr(e.func, f)))
-
-    def call(self, o: Value, args: list[Values] | None, named: dict[str, Values]) -> Values:
+        given, named, rest, more = [], {}, False, False
+        for x in e.args:
+            v = self.expr(x.value if isinstance(x, ast.Starred) else x, f)
+            if not isinstance(x, ast.Starred):
+                given += [] if rest else [v]
+            elif (items := self._spread(v)) is None:  # from here on positions are not known
+                rest = True
+            else:
+                given += [] if rest else items
+        for k in e.keywords:
+            v = self.expr(k.value, f)
+            if k.arg:
+                named[k.arg] = v
+            elif len(v) == 1 and v[0].kind == "native" and isinstance(v[0].value, dict):
+                named.update({n: [native(x)] for n, x in v[0].value.items()})
+            else:
+                more = True
+        return union(*(self.call(o, given, named, rest, more) for o in self.expr(e.func, f)))
+
+    @staticmethod
+    def _spread(v: Values) -> list[Values] | None:
+        """The arguments a starred value stands for, if they are known."""
+        if len(v) != 1:
+            return None
+        o = v[0]
+        if o.kind == "native":
+            return [[native(x)] for x in o.value] if isinstance(o.value, (list, tuple, str, dict, set)) else None
+        items = [m for k, m in o.members.items() if k.startswith("[")] if o.kind == "instance" and o.name in ("list", "tuple") else []
+        return items if items and [UNKNOWN] not in items else None
+
+    def call(self, o: Value, args: list[Values], named: dict[str, Values], rest: bool = False, more: bool = False) -> Values:
+        """rest and more: there are further arguments of which neither number nor values are known, by position and by name."""
         if o.kind == "class":
             made = Value("instance", o, o.name)
             for init in self.member(made, "__init__"):
                 if init.kind == "function":
-                    self.call(init, args, named)
+                    self.call(init, args, named, rest, more)
             return [made]
         if o.kind != "function":
             return [UNKNOWN, MORE] if o is MORE else [UNKNOWN]
@@ -523,17 +549,24 @@ class Evaluator:
         f, a = Frame(home), node.args
         plain = [p.arg for p in (*a.posonlyargs, *a.args)]
         is_static = isinstance(node, ast.FunctionDef) and any(isinstance(d, ast.Name) and d.id == "staticmethod" for d in node.decorator_list)
-        given = None if args is None else ([[b] for b in bound] if not is_static else []) + args
+        given = ([[b] for b in bound] if not is_static else []) + args
         defaults = dict(zip(plain[len(plain) - len(a.defaults) :], a.defaults, strict=True)) | {p.arg: d for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d}
         for p in scopes.parameters(a):
             f.names[p.arg] = self.expr(defaults[p.arg], home) if p.arg in defaults else [UNKNOWN]
-        if given is not None:
-            for p, v in zip(plain, given, strict=False):
-                f.names[p] = v
-            f.names.update({k: v for k, v in named.items() if k in f.names})
-            if a.vararg:
-                extra = given[len(plain) :]
-                f.names[a.vararg.arg] = [native(tuple(v[0].value for v in extra))] if all(len(v) == 1 and v[0].kind == "native" for v in extra) else [Value("instance", None, "tuple")]
+            if (rest and p.arg in plain[len(given) :]) or (more and p.arg not in plain[: len(given)] and p not in a.posonlyargs):
+                f.names[p.arg] = union(f.names[p.arg], [UNKNOWN])
+        for p, v in zip(plain, given, strict=False):
+            f.names[p] = v
+        by_name = {p.arg for p in (*a.args, *a.kwonlyargs)}
+        f.names.update({k: v for k, v in named.items() if k in by_name})
+        if a.vararg:
+            extra = given[len(plain) :]
+            known = not rest and all(len(v) == 1 and v[0].kind == "native" for v in extra)
+            f.names[a.vararg.arg] = [native(tuple(v[0].value for v in extra))] if known else [Value("instance", None, "tuple", {} if rest else {f"[{k}]": v for k, v in enumerate(extra)})]
+        if a.kwarg:
+            extra = {k: v for k, v in named.items() if k not in by_name}
+            known = not more and all(len(v) == 1 and v[0].kind == "native" for v in extra.values())
+            f.names[a.kwarg.arg] = [native({k: v[0].value for k, v in extra.items()})] if known else [Value("instance", None, "dict")]
         self.running.append(node)
         try:
             if isinstance(node, ast.Lambda):

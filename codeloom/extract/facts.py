@@ -52,7 +52,7 @@ def definitions(tree: ast.Module) -> Iterator[tuple]:
             elif isinstance(s, ast.stmt):
                 for x in sorted(scopes.bound(s)):
                     yield scope, x, ASSIGNMENT, line
-                for c in ast.iter_child_nodes(s):
+                for c in scopes.children(s):
                     if isinstance(c, ast.stmt):
                         yield from walk([c], scope)
                     elif isinstance(c, (ast.ExceptHandler, ast.match_case)):
@@ -64,7 +64,7 @@ def definitions(tree: ast.Module) -> Iterator[tuple]:
 def imports(tree: ast.Module) -> Iterator[tuple]:
     """kind (import, from), module, value, as_name, bound name, whether at the top level, first and last line from 0."""
     top = {id(s) for s in tree.body}
-    for s in ast.walk(tree):
+    for s in scopes.statements(tree.body):
         if isinstance(s, ast.Import):
             for a in s.names:
                 yield "import", a.name, None, a.asname, a.asname or a.name.split(".")[0], id(s) in top, s.lineno - 1, s.end_lineno - 1
@@ -155,6 +155,6 @@ def name_tokens(source: str) -> list[str]:
 
 def statements(tree: ast.Module) -> Iterator[tuple]:
     """kind, line from 0, and the statement's text in one normal form."""
-    for s in ast.walk(tree):
+    for s in scopes.statements(tree.body):
         if isinstance(s, STATEMENTS):
             yield type(s).__name__, s.lineno - 1, ast.unparse(s)

@@ -29,13 +29,40 @@ _RAW = Use("raw")
 
 
 def merge(*parts: Uses) -> Uses:
+    """The uses of all parts; parts are never changed, so what one part has alone is shared with the result."""
+    some = [p for p in parts if p]
+    if len(some) == 1:
+        return some[0]
     out: Uses = {}
-    for p in parts:
+    for p in some:
         for name, uses in p.items():
-            out.setdefault(name, set()).update(uses)
+            out[name] = out[name] | uses if name in out else uses
     return out
 
 
+def children(node: ast.AST) -> list[ast.AST]:
+    """The nodes directly beneath a node, as ast.iter_child_nodes gives them, in one list."""
+    out: list[ast.AST] = []
+    for f in node._fields:
+        v = getattr(node, f, None)
+        if isinstance(v, list):
+            out += [x for x in v if isinstance(x, ast.AST)]
+        elif isinstance(v, ast.AST):
+            out.append(v)
+    return out
+
+
+def statements(body: Iterable[ast.stmt]) -> Iterator[ast.stmt]:
+    """Every statement of a block and of the blocks in it, in the order of the source."""
+    todo = list(body)[::-1]
+    while todo:
+        s = todo.pop()
+        yield s
+        inside = [x for part in ("body", "handlers", "cases", "orelse", "finalbody") for x in getattr(s, part, ())]
+        flat = [y for x in inside for y in (x.body if isinstance(x, (ast.ExceptHandler, ast.match_case)) else [x])]
+        todo += flat[::-1]
+
+
 def less(uses: Uses, names: Iterable[str]) -> Uses:
     hidden = set(names)
     return {k: v for k, v in uses.items() if k not in hidden}
@@ -49,6 +76,8 @@ class Flow:
 
 def targets(node: ast.AST | None) -> set[str]:
     """Every name that is free in what is assigned to; a.b = 1 and a[i] = 1 count a (and i) as well."""
+    if isinstance(node, ast.Name):
+        return {node.id}
     return set() if node is None else {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
 
 
@@ -91,7 +120,7 @@ class Scoper:
         if isinstance(node, ast.NamedExpr):
             self.named.append(node.target.id)
             return self.expr(node.value)
-        return merge(*[self.expr(c) for c in ast.iter_child_nodes(node)])
+        return merge(*[self.expr(c) for c in children(node)])
 
     def _on(self, base: ast.AST, use: Use) -> Uses:
         return {base.id: {use}} if isinstance(base, ast.Name) else self.expr(base)
@@ -109,7 +138,7 @@ class Scoper:
         if made:
             f = made(s)
         else:  # an expression, return, raise, assert, delete or the like
-            f = Flow(merge(*map(self.expr, ast.iter_child_nodes(s))))
+            f = Flow(merge(*map(self.expr, children(s))))
         if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             f.defs.update(self.named[before:])
         del self.named[before:]
@@ -214,7 +243,7 @@ def bound(s: ast.stmt) -> set[str]:
         names = set().union(*(captures(c.pattern) for c in s.cases))
     else:
         names = set()
-    return names.union(*(_walrus(c) for c in ast.iter_child_nodes(s) if isinstance(c, ast.expr)))
+    return names.union(*(_walrus(c) for c in children(s) if isinstance(c, ast.expr)))
 
 
 def captures(pattern: ast.pattern) -> set[str]:
@@ -227,11 +256,11 @@ def _walrus(node: ast.AST | None) -> set[str]:
     out, todo = set(), [node]
     while todo:
         n = todo.pop()
-        if n is None or isinstance(n, (ast.Lambda, ast.stmt)):
+        if n is None or isinstance(n, (ast.Name, ast.Constant, ast.Lambda, ast.stmt)):
             continue
         if isinstance(n, ast.NamedExpr):
             out.add(n.target.id)
-        todo += ast.iter_child_nodes(n)
+        todo += children(n)
     return out
 
 

@@ -59,8 +59,7 @@ def shorten_path(path: Column) -> Column:
 
 def beginnings(path: Column) -> Column:
     """The path up to each of its components: '/a/b' gives '', '/a' and '/a/b'."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.call_function("substring_index", path, F.lit("/"), i))
 
 
 def distance_between(a: Column, b: Column) -> Column:
@@ -84,17 +83,22 @@ def as_directory(path: Column, is_dir: Column) -> Column:
 
 def ancestors(path: Column) -> Column:
     """All directories above a path, each with its final slash, from the root down."""
-    parts = F.split(F.regexp_replace(path, "/[^/]*/?$", ""), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    above = F.regexp_replace(path, "/[^/]*/?$", "")
+    return F.transform(beginnings(above), lambda x: F.concat(x, F.lit("/")))
 
 
 def strip_underscores(name: Column) -> Column:
     return F.ltrim(name, F.lit("_"))
 
 
-def module_candidates(base: Column) -> Column:
-    """Files that may hold the module at an extensionless path, in the order they are preferred."""
-    return F.array(*[F.concat(base, F.lit(x)) for x in ("/__init__.pyi", "/__init__.py", ".py", ".pyi")])
+def module_stems(path: Column) -> Column:
+    """(stem, form) structs: the extensionless module paths a file may hold, with the place it has among the files that may hold them: a
+    package's stub, a package, a module, a module's stub. Other files hold none."""
+    one = lambda stem, form: F.struct(stem.alias("stem"), F.lit(form).alias("form"))
+    plain, folder = F.regexp_replace(path, r"\.pyi?$", ""), directory(path)
+    own = F.when(path.endswith(".py"), F.array(one(plain, 2))).when(path.endswith(".pyi"), F.array(one(plain, 3)))
+    package = F.when(path.endswith("/__init__.pyi"), F.array(one(folder, 0))).when(path.endswith("/__init__.py"), F.array(one(folder, 1)))
+    return F.concat(F.coalesce(own, F.slice(F.array(one(plain, 2)), 1, 0)), F.coalesce(package, F.slice(F.array(one(plain, 2)), 1, 0)))
 
 
 def import_statement(module: Column, value: Column, as_name: Column) -> Column:

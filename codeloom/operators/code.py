@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ REFERENCES = "file_id bigint, name string, resolved string, context string, line
 STATEMENTS = "file_id bigint, kind string, lineno int, code string"
 CLOSURES = "file_id bigint, function string, symbol string"
 EXPORTS = "file_id bigint, symbol string"
-TOKENS = "file_id bigint, term string"
+TOKENS = "term string, value bigint"
 VALUES = "file_id bigint, name string, n_values int, ambiguous boolean, kinds array<string>, types array<string>, texts array<string>"
 FAILURES = "file_id bigint, error_kind string, message string, n_skipped_lines int"
 
@@ -47,7 +48,9 @@ def _frames(source: str) -> int:
     return 10_000 + 20 * len(source)
 
 
-def _rows(make: Callable[[str], Iterator[tuple]], schema: str):
+def _rows(make: Callable[..., Iterator[tuple]], schema: str, beside: tuple[str, ...] = (), also: Callable[..., Iterator[tuple]] | None = None):
+    """make gives the rows of a source, after its file_id; it is called with the source and the columns beside it. also gives rows of every
+    file, of null sources too, from those columns alone."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +61,15 @@ def _rows(make: Callable[[str], Iterator[tuple]], schema: str):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
         for b in batches:
-            for i, s in zip(b["file_id"].to_pylist(), b["source"], strict=True):
+            more = zip(*(b[c].to_pylist() for c in beside), strict=True) if beside else [()] * b.num_rows
+            for i, s, m in zip(b["file_id"].to_pylist(), b["source"], more, strict=True):
+                if also:
+                    held += [(i, *r) for r in also(*m)]
                 if (text := s.as_py()) is None:
                     continue
                 sys.setrecursionlimit(_frames(text))
                 try:
-                    held += [(i, *r) for r in make(text)]
+                    held += [(i, *r) for r in make(text, *m)]
                 except RecursionError:  # nested beyond what is walked; parse_failures has it
                     continue
                 if len(held) >= BATCH_ROWS:
@@ -88,55 +94,91 @@ def python_files(sources: DataFrame, file_id: Column, path: Column, source: Colu
     rows = sources.select(file_id.alias("file_id"), path.alias("path"), source.alias("source"))
     once = rows.filter(paths.is_python_file(F.lower("path")) & F.col("source").isNotNull()).dropDuplicates(["file_id"])
     # parsing costs far more than moving the sources, so they are dealt out evenly however few bytes they are
-    return once.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return once.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
 
 @dataclass(frozen=True)
 class Facts:
-    """Definitions, imports, uses and exports of a set of files, from one parse of each, and the files without their sources."""
+    """What a set of files says, from one parse of each, without their sources. What concerns one file alone is put together where it is
+    parsed, so none of it needs a shuffle."""
 
     files: DataFrame  # file_id, path, root
     definitions: DataFrame
-    imports: DataFrame
+    imports: DataFrame  # and path, root, used: whether the rest of the file uses the name
     uses: DataFrame
     exports: DataFrame
+    gaps: DataFrame  # file_id, path, symbol, contexts of the names that the file neither defines nor imports
+    entries: DataFrame  # file_id, path, symbol (null for the module itself), symbol_type, members: what the index has of the file
 
 
-def _every(source: str) -> Iterator[tuple]:
-    tree = parsing.parse_tolerant(source)[0]
-    for n, make in enumerate((facts.definitions, facts.imports, facts.uses)):
-        row = [None] * 5
-        for r in make(tree):
-            row[n] = dict(zip(_FIELDS[n], r, strict=True))
-            yield _FACTS[n], *row
-    for x in sorted(scopes.exports(tree)):
-        yield _FACTS[3], None, None, None, x, None
-
-
-_FACTS = ("definition", "import", "use", "export", "file")
-_PARTS = [x.removeprefix("file_id bigint, ") for x in (DEFINITIONS, IMPORTS, USES)]
+_FACTS = ("definition", "import", "use", "export", "file", "gap", "entry")
+_PARTS = [x.removeprefix("file_id bigint, ") for x in (DEFINITIONS, IMPORTS + ", used boolean", USES)]
 _FIELDS = [[c.split()[0] for c in p.split(", ")] for p in _PARTS]
-
-
-def extract(files: DataFrame) -> Facts:
-    """The facts are written once, a folder for each kind. Sources are read in this pass only."""
-    structs = ", ".join(f"{n} struct<{', '.join(':'.join(c.split()) for c in p.split(', '))}>" for n, p in zip(("d", "i", "u"), _PARTS, strict=True))
-    schema = f"file_id bigint, fact string, {structs}, symbol string, f struct<path:string,root:string>"
-    rows_of, arrow = _rows(_every, schema), to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            where = [{"path": p, "root": r} for p, r in zip(b["path"].to_pylist(), b["root"].to_pylist(), strict=True)]
-            n = len(where)
-            cols = [b["file_id"], pa.array([_FACTS[4]] * n, pa.string()), *(pa.nulls(n, arrow.field(k).type) for k in range(2, 6)), pa.array(where, arrow.field(6).type)]
-            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-            yield from rows_of(iter([b.select(["file_id", "source"])]))
-
+_STRUCTS = ", ".join(f"{n} struct<{', '.join(':'.join(c.split()) for c in p.split(', '))}>" for n, p in zip(("d", "i", "u"), _PARTS, strict=True))
+_EVERY = f"file_id bigint, fact string, {_STRUCTS}, symbol string, f struct<path:string,root:string>, contexts array<struct<kind:string,attribute:string,argc:int>>, symbol_type int, members array<string>"
+_MODULE = 3
+
+
+def _row(fact: int, part: int | None = None, values: tuple = (), symbol: str | None = None, f: dict | None = None, contexts: list | None = None, symbol_type: int | None = None, members: list | None = None) -> tuple:
+    parts = [None, None, None]
+    if part is not None:
+        parts[part] = dict(zip(_FIELDS[part], values, strict=True))
+    return _FACTS[fact], *parts, symbol, f, contexts, symbol_type, members
+
+
+def _of_file(path: str, root: str, *_) -> Iterator[tuple]:
+    yield _row(4, f={"path": path, "root": root})
+
+
+def _every(source: str, path: str | None = None, root: str | None = None, wanted: str | None = None) -> Iterator[tuple]:
+    """wanted: the names of the facts to give, with commas between; all if it is null."""
+    tree, f, want = parsing.parse_tolerant(source)[0], {"path": path, "root": root}, set(wanted.split(",")) if wanted else set(_FACTS)
+    defined = list(facts.definitions(tree)) if want & {"definition", "entry"} else []
+    if "definition" in want:
+        for r in defined:
+            yield _row(0, 0, r)
+    used, gaps = set(), {}
+    if want & {"use", "gap", "import"}:
+        for r in facts.uses(tree):
+            used.add(r[0])
+            if r[4]:
+                gaps.setdefault(r[0], set()).add(r[1:4])
+            if "use" in want:
+                yield _row(2, 2, r)
+    if "import" in want:
+        for r in facts.imports(tree):
+            yield _row(1, 1, (*r, r[4] in used), f=f)
+    if "export" in want:
+        for x in sorted(scopes.exports(tree)):
+            yield _row(3, symbol=x)
+    if "gap" in want:
+        for x, how in gaps.items():
+            yield _row(5, symbol=x, f=f, contexts=[{"kind": k, "attribute": a, "argc": n} for k, a, n in sorted(how)])
+    if "entry" in want:
+        top, inside = {}, {}
+        for scope, name, kind, line in defined:
+            if not scope:
+                top[name] = min(top.get(name, (line, kind)), (line, kind))
+            elif "." not in scope:
+                inside.setdefault(scope, set()).add(name)
+        for x, (_, kind) in top.items():
+            yield _row(6, symbol=x, f=f, symbol_type=kind, members=sorted(inside.get(x, ())))
+        yield _row(6, f=f, symbol_type=_MODULE, members=sorted(top))
+
+
+def extract(files: DataFrame, *wanted: str) -> Facts:
+    """The facts, or those of the kinds that are wanted ('definition', 'import', 'use', 'export', 'gap', 'entry'), are written once, a folder
+    for each kind. Sources are read in this pass only."""
     ship(files.sparkSession)
     root = F.col("root") if "root" in files.columns else F.lit("")
-    rows = written(files.select("file_id", "path", root.alias("root"), "source").mapInArrow(run, schema), "code-facts", "fact")
-    of = lambda kind, *cols: rows.filter(F.col("fact") == kind).select("file_id", *cols)
-    return Facts(of("file", "f.*"), of("definition", "d.*"), of("import", "i.*"), of("use", "u.*"), of("export", "symbol"))
+    rows = files.select("file_id", "path", root.alias("root"), "source", F.lit(",".join(wanted) or None).cast("string").alias("wanted"))
+    run = _rows(_every, _EVERY, ("path", "root", "wanted"), _of_file)
+    done = written(rows.mapInArrow(run, _EVERY), "code-facts", "fact")
+    of = lambda kind, *cols: done.filter(F.col("fact") == kind).select("file_id", *cols)
+    return Facts(
+        of("file", "f.*"), of("definition", "d.*"), of("import", "i.*", "f.path", "f.root"), of("use", "u.*"), of("export", "symbol"),
+        of("gap", "f.path", "symbol", "contexts"), of("entry", "f.path", "symbol", "symbol_type", "members"),
+    )
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -175,8 +217,23 @@ def exports(files: DataFrame) -> DataFrame:
     return _facts(files, _of_tree(lambda t: ((x,) for x in sorted(scopes.exports(t)))), EXPORTS)
 
 
-def name_tokens(files: DataFrame) -> DataFrame:
-    return _facts(files, lambda s: ((t,) for t in facts.name_tokens(s)), TOKENS)
+def name_counts(files: DataFrame) -> DataFrame:
+    """term, value: how often each name token occurs. Files are counted where they are read; only the sums of a batch travel."""
+    ship(files.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(TOKENS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for b in batches:
+            for s in b["source"]:
+                if s.is_valid:
+                    n.update(facts.name_tokens(s.as_py()))
+            if len(n) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pydict({"term": list(n), "value": list(n.values())}, schema=arrow)
+                n.clear()
+        yield pa.RecordBatch.from_pydict({"term": list(n), "value": list(n.values())}, schema=arrow)
+
+    return files.select("source").mapInArrow(run, TOKENS).groupBy("term").agg(F.sum("value").alias("value"))
 
 
 def _values(source: str) -> Iterator[tuple]:
@@ -189,7 +246,7 @@ def values(files: DataFrame) -> DataFrame:
 
 
 #: What reads a source, by the facts it gives.
-_READERS: dict[str, Callable[[str], Iterator[tuple]]] = {
+_READERS: dict[str, Callable[..., Iterator[tuple]]] = {
     "definitions, imports, uses, exports": _every, "nodes": _of_tree(facts.nodes), "parameters": _of_tree(facts.parameters), "references": _of_tree(facts.references), "statements": _of_tree(facts.statements), "closures": _of_tree(scopes.closures),
     "values": _values,
 }
@@ -227,42 +284,61 @@ def parse_failures(files: DataFrame) -> DataFrame:
 # --- relations between files --------------------------------------------------------------------------------------
 
 
-def resolved_imports(found: DataFrame, files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """found with target_id: the file each import names. Relative names start at the importing file, absolute ones at its root
-    (root_dir of files if they have one, else '').
+def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
+    """found with target_id: the file each import names, and is_module: whether its value is a submodule. Relative names start at the
+    importing file, absolute ones at its root (root of files if they have one, else ''); path and root are taken from found if it has them.
 
     A from-import may name a submodule: module.value is tried before module. Packages come before modules, stubs before the
-    package's source and after the module's."""
+    package's source and after the module's. Each row of found comes out once."""
     where = files.select("file_id", "path", (F.col("root") if "root" in files.columns else F.lit("")).alias("root"))
-    named = found.join(where, "file_id")
-    rel = F.col("module").startswith(".")
+    known = where.select(F.col("file_id").alias("target_id"), F.explode(paths.module_stems(F.col("path"))).alias("s"))
+    known = known.groupBy("s.stem").agg(F.min(F.struct("s.form", "target_id")).alias("best")).select("stem", F.col("best.target_id").alias("target_id"))
+    named = found if {"path", "root"} <= set(found.columns) else found.join(where, "file_id")
+    base = F.when(F.col("module").startswith("."), paths.directory(F.col("path"))).otherwise(F.col("root"))
+
+    def stem(name: Column) -> Column:
+        # imports that name nothing so are spread by their file instead of meeting in one task
+        at = normal_path(F.concat_ws("/", base, paths.relative_module_path(name)))
+        return F.when(name.isNotNull(), at).otherwise(F.concat(F.lit("\0"), F.col("file_id").cast("string")))
+
     full = F.when((F.col("kind") == "from") & (F.col("value") != "*"), paths.join_attribute(F.col("module"), F.col("value")))
-    base = F.when(rel, paths.directory(F.col("path"))).otherwise(F.col("root"))
-    at = named.select("*", base.alias("base"), F.posexplode(F.array(full, F.col("module"))).alias("choice", "name")).filter("name IS NOT NULL")
-    target = normal_path(F.concat_ws("/", "base", paths.relative_module_path(F.col("name"))))
-    at = at.select("*", F.posexplode(paths.module_candidates(target)).alias("form", "candidate"))
-    hit = at.join(where.select(F.col("file_id").alias("target_id"), F.col("path").alias("candidate")), "candidate")
-    cols = found.columns
-    best = hit.groupBy(*cols).agg(F.min(F.struct("choice", "form", "target_id")).alias("b"))
-    null_safe = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
-    joined = found.alias("l").join(best.alias("r"), null_safe, "left")
-    return joined.select("l.*", F.col("r.b.target_id").alias("target_id"), (F.col("r.b.choice") == 0).alias("is_module"))
+    named = named.withColumns({"stem_of_value": stem(full), "stem_of_module": stem(F.col("module"))})
+    for k in ("value", "module"):
+        named = named.join(known.select(F.col("stem").alias(f"stem_of_{k}"), F.col("target_id").alias(f"target_of_{k}")), f"stem_of_{k}", "left")
+    target = F.coalesce("target_of_value", "target_of_module")
+    cols = [c for c in found.columns if c not in ("path", "root")]
+    return named.select(*cols, target.alias("target_id"), F.when(target.isNotNull(), F.col("target_of_value").isNotNull()).alias("is_module"))
 
 
 def missing_symbols(found_uses: DataFrame, found_imports: DataFrame, found_exports: DataFrame) -> DataFrame:
     """file_id, symbol, contexts of names no definition, import or builtin gives, nor a star import of a known file. found_imports
     has target_id (resolved_imports)."""
     gaps = found_uses.filter("missing").groupBy("file_id", "symbol").agg(F.collect_set(F.struct("kind", "attribute", "argc")).alias("contexts"))
+    return _without_stars(gaps, found_imports, found_exports)
+
+
+def _without_stars(gaps: DataFrame, found_imports: DataFrame, found_exports: DataFrame) -> DataFrame:
+    """The gaps that no star import of a known file fills."""
     star = found_imports.filter("value = '*' AND target_id IS NOT NULL").select("file_id", "target_id").distinct()
     given = star.join(found_exports.withColumnRenamed("file_id", "target_id"), "target_id").select("file_id", "symbol")
     return gaps.join(given, ["file_id", "symbol"], "left_anti")
 
 
+def missing_of(facts: Facts) -> DataFrame:
+    """missing_symbols (and path) of extracted facts: only star imports are resolved."""
+    return _without_stars(facts.gaps, resolved_imports(facts.imports.filter("value = '*'"), facts.files), facts.exports)
+
+
 def unused_imports(found_imports: DataFrame, found_uses: DataFrame) -> DataFrame:
     """Top-level imports whose name the rest of the file does not use."""
     return found_imports.filter("top_level AND value IS DISTINCT FROM '*'").join(found_uses.select("file_id", F.col("symbol").alias("bound")), ["file_id", "bound"], "left_anti")
 
 
+def unused_of(facts: Facts) -> DataFrame:
+    """unused_imports of extracted facts."""
+    return facts.imports.filter("top_level AND value IS DISTINCT FROM '*' AND NOT used")
+
+
 def merged_contexts(found_uses: DataFrame) -> DataFrame:
     """file_id, symbol, contexts: the ways a name is used; plain uses say nothing once there are others."""
     ctx = F.array_sort(F.collect_set(F.struct("kind", "attribute", "argc")))

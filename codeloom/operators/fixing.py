@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -24,19 +24,11 @@ RESULT = f"file_id bigint, path string, new_source string, edits array<{EDIT}>,
 def index_of_files(files: DataFrame, facts: code.Facts | None = None) -> DataFrame:
     """Entries of the index for what files define at their top level, and for the modules themselves. Adds members,
     the names a symbol has. facts: those of the files, if they are at hand."""
+    found = (facts or code.extract(files, "entry")).entries
     key = F.struct(F.lit(3).alias("module_source_type"), F.col("path").alias("id")).alias("module_key")
-    defs = facts.definitions if facts else code.definitions(files)
-    top = defs.filter("scope = ''").groupBy("file_id", "name").agg(F.min_by("symbol_type", "lineno").alias("symbol_type"))
-    of_class = defs.filter("scope <> '' AND NOT contains(scope, '.')").groupBy("file_id", F.col("scope").alias("name")).agg(F.collect_set("name").alias("members"))
-    own = top.join(of_class, ["file_id", "name"], "left")
-    of_module = top.groupBy("file_id").agg(F.collect_set("name").alias("members"))
-    found, none = files.select("file_id", "path"), F.array().cast("array<string>")
     flags = [F.lit(False).alias("not_yet_found_in_module"), F.lit(False).alias("imported")]
-    a = own.join(found, "file_id").select(F.col("name").alias("symbol_name"), key, F.lit(False).alias("is_module_itself"), "symbol_type", *flags, F.coalesce("members", none).alias("members"), "file_id")
-    b = found.join(of_module, "file_id", "left").select(
-        paths.module_basename(F.col("path")).alias("symbol_name"), key, F.lit(True).alias("is_module_itself"), F.lit(symbols.MODULE).alias("symbol_type"), *flags, F.coalesce("members", none).alias("members"), "file_id"
-    )
-    return a.unionByName(b)
+    name = F.coalesce("symbol", paths.module_basename(F.col("path"))).alias("symbol_name")
+    return found.select(name, key, F.col("symbol").isNull().alias("is_module_itself"), "symbol_type", *flags, "members", "file_id")
 
 
 def with_import_counts(index: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -51,41 +43,59 @@ def with_import_counts(index: DataFrame, resolved: DataFrame) -> DataFrame:
     return named.alias("i").join(counts.alias("c"), on, "left").select("i.*", F.coalesce("c.import_count", F.lit(0)).alias("import_count")).drop("value")
 
 
+_PREFERENCE = ["import_count", "imported", "is_module_itself"]
+
+
 def choose_imports(missing: DataFrame, files: DataFrame, index: DataFrame) -> DataFrame:
     """file_id, symbol, ambiguous, winner for each missing name some entry could give. No module is imported into
-    itself: where it would be the best, nothing is chosen."""
-    # What fits depends on the name and how it is used, not on the file: it is found once for each, and only the most preferred
-    # are kept, as distance decides between those alone.
-    ways = written(missing.withColumn("contexts", F.array_sort("contexts")), "missing-names")
-    c = ways.select("symbol", "contexts").distinct().join(index.withColumnRenamed("file_id", "target_id").withColumnRenamed("symbol_name", "symbol"), "symbol")
-    fits = c.filter(symbols.matches_context(F.col("symbol_type"), F.col("contexts"), F.col("members"))).select("symbol", "contexts", "import_count", "imported", "is_module_itself", "module_key")
-    best = fits.withColumn("k", F.rank().over(Window.partitionBy("symbol", "contexts").orderBy(*symbols.preference()))).filter("k = 1").drop("k")
-    return nearest(ways, files, best)
+    itself: where it would be the best, nothing is chosen. missing: file_id, symbol, contexts, and path if it is at hand.
+
+    Entries of a symbol that are alike in what contexts and preference look at form a class. Each shape of contexts meets each class,
+    not each entry; distance then decides between the entries of the best classes."""
+    there = missing if "path" in missing.columns else missing.join(files.select("file_id", "path"), "file_id")
+    ways = written(there.select("file_id", "path", "symbol", F.array_sort("contexts").alias("contexts")), "missing-names")
+    alike = ["symbol_type", F.array_sort("members").alias("members"), *_PREFERENCE]
+    entries = index.select(F.col("symbol_name").alias("symbol"), *alike, "module_key")
+    entries = written(entries.withColumn("class_id", F.xxhash64("symbol", "symbol_type", "members", *_PREFERENCE)), "index-classes")
+    classes = entries.select("symbol", "class_id", "symbol_type", "members", *_PREFERENCE).distinct()
+    fits = ways.select("symbol", "contexts").distinct().join(classes, "symbol").filter(symbols.matches_context(F.col("symbol_type"), F.col("contexts"), F.col("members")))
+    first = F.rank().over(Window.partitionBy("symbol", "contexts").orderBy(*symbols.preference()))
+    best = written(fits.withColumn("k", first).filter("k = 1").select("symbol", "contexts", "class_id"), "best-classes")
+    return nearest(ways, best, entries)
 
 
 #: Stands for the directory of modules that are no files, which are equally far from everywhere.
 _NOWHERE = "?"
 
 
-def nearest(ways: DataFrame, files: DataFrame, best: DataFrame) -> DataFrame:
-    """For each file and name the one candidate whose file is nearest, without meeting all pairs of files and candidates.
+def nearest(ways: DataFrame, best: DataFrame, entries: DataFrame) -> DataFrame:
+    """For each file and name of ways (file_id, path, symbol, contexts) the one entry whose file is nearest, among those of the classes that
+    best gives for symbol and contexts, without meeting all pairs of files and entries.
 
-    The distance of a candidate of length n from a folder of length m that share c components is max(n, m) - c. Candidates are
+    The distance of an entry of length n from a folder of length m that share c components is max(n, m) - c. Entries are
     counted by each beginning of their path and by length; a folder looks under each of its own beginnings. Under a beginning
-    shorter than what a candidate really shares it seems farther than it is, so the smallest distance, and how many
-    candidates have it, come out right. What is joined grows with the depth of paths, not with the number of candidates."""
-    key, is_file = ["symbol", "contexts"], F.col("module_key.module_source_type").isin(1, 3)
+    shorter than what an entry really shares it seems farther than it is, so the smallest distance, and how many
+    entries have it, come out right. What is joined grows with the depth of paths, not with the number of entries."""
+    is_file = F.col("module_key.module_source_type").isin(1, 3)
     parts = F.when(is_file, paths.beginnings(F.col("module_key.id"))).otherwise(F.array(F.lit(_NOWHERE)))
-    under = best.select(*key, "module_key", "is_module_itself", F.size(parts).alias("n"), F.explode(parts).alias("beginning"))
-    counted = under.groupBy(*key, "beginning", "n").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("module_key", "is_module_itself")).alias("w"))
-    here = ways.join(files.select("file_id", "path", paths.beginnings(paths.directory(F.col("path"))).alias("own")), "file_id")
-    looks = here.select("file_id", *key, F.size("own").alias("m"), F.posexplode(F.concat("own", F.array(F.lit(_NOWHERE)))).alias("pos", "beginning"))
-    far = F.when(F.col("beginning") == _NOWHERE, F.lit(paths.NO_FILE_DISTANCE)).otherwise(F.greatest("n", "m") - F.col("pos") - 1)
-    at = looks.join(counted, [*key, "beginning"]).groupBy("file_id", "symbol", far.alias("distance")).agg(F.sum("k").alias("n_best"), F.min("w").alias("w"))
-    near = at.groupBy("file_id", "symbol").agg(F.min(F.struct("distance", "n_best", "w")).alias("b")).select("file_id", "symbol", "b.*")
-    itself = near.join(files.select("file_id", F.col("path").alias("own_path")), "file_id")
-    one = (F.col("n_best") == 1) & (F.col("w.module_key.id") != F.col("own_path"))
-    return itself.select("file_id", "symbol", "distance", "n_best", (F.col("n_best") > 1).alias("ambiguous"), F.when(one, F.col("w")).alias("winner"))
+    chosen = entries.join(best.select("class_id").distinct(), "class_id", "left_semi")
+    under = chosen.select("class_id", "module_key", "is_module_itself", F.explode(parts).alias("beginning")).withColumn("n", F.when(is_file, _components(F.col("module_key.id"))).otherwise(1))
+    counted = under.groupBy("class_id", "beginning", "n").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("module_key", "is_module_itself")).alias("w"))
+    # files of one folder that miss the same name in the same ways find the same
+    key = ["folder", "symbol", "contexts"]
+    there = ways.withColumn("folder", paths.directory(F.col("path")))
+    # dealt out by number, as each row becomes many
+    places = there.select(*key).repartition(int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).distinct()
+    looks = places.join(best, ["symbol", "contexts"]).select(*key, "class_id", F.posexplode(F.concat(paths.beginnings(F.col("folder")), F.array(F.lit(_NOWHERE)))).alias("pos", "beginning"))
+    far = F.when(F.col("beginning") == _NOWHERE, F.lit(paths.NO_FILE_DISTANCE)).otherwise(F.greatest("n", _components(F.col("folder"))) - F.col("pos") - 1)
+    at = looks.join(counted, ["class_id", "beginning"]).groupBy(*key, far.alias("distance")).agg(F.sum("k").alias("n_best"), F.min("w").alias("w"))
+    near = at.groupBy(*key).agg(F.min(F.struct("distance", "n_best", "w")).alias("b")).select(*key, "b.*")
+    one = (F.col("n_best") == 1) & (F.col("w.module_key.id") != F.col("path"))
+    return there.join(near, key).select("file_id", "symbol", "distance", "n_best", (F.col("n_best") > 1).alias("ambiguous"), F.when(one, F.col("w")).alias("winner"))
+
+
+def _components(path: Column) -> Column:
+    return F.size(F.split(path, "/"))
 
 
 def module_name(target: str, source_type: int, from_path: str, location: str) -> str:
@@ -158,13 +168,12 @@ def apply_imports(files: DataFrame, chosen: DataFrame, unused: DataFrame, locati
     return rows.mapInArrow(_fix(location), RESULT)
 
 
-def fix_files(files: DataFrame, index: DataFrame, facts: code.Facts | None = None, resolved: DataFrame | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
+def fix_files(files: DataFrame, index: DataFrame, facts: code.Facts | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
     """The whole way for files (file_id, path, source): what is missing, which entries of the index give it, the new sources.
-    facts and resolved (imports): those of the files, if they are at hand."""
-    facts = facts or code.extract(files)
-    gaps = code.missing_symbols(facts.uses, code.resolved_imports(facts.imports, facts.files) if resolved is None else resolved, facts.exports)
-    unused = code.unused_imports(facts.imports, facts.uses)
-    return apply_imports(files, choose_imports(gaps, facts.files, index), unused if remove_unused else unused.limit(0), location)
+    facts: those of the files, if they are at hand."""
+    facts = facts or code.extract(files, "import", "export", "gap")
+    unused = code.unused_of(facts)
+    return apply_imports(files, choose_imports(code.missing_of(facts), facts.files, index), unused if remove_unused else unused.limit(0), location)
 
 
 def apply_edits(texts: DataFrame) -> DataFrame:

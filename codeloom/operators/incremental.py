@@ -20,7 +20,7 @@ TARGET = ["target_id", "is_module_itself", "value"]
 class IndexState:
     files: DataFrame  # file_id, path, root
     entries: DataFrame  # index_of_files
-    imports: DataFrame  # code.imports
+    imports: DataFrame  # code.imports, with path and root
     refs: DataFrame  # importer, target_id, is_module_itself, value; each once
     counts: DataFrame  # TARGET, import_count
 
@@ -35,7 +35,7 @@ def references(resolved: DataFrame) -> DataFrame:
 
 def build(files: DataFrame) -> IndexState:
     """The state of all files (file_id, path, root, source)."""
-    x = code.extract(files)
+    x = code.extract(files, "import", "entry")
     refs = references(code.resolved_imports(x.imports, x.files))
     return IndexState(x.files, fixing.index_of_files(x.files, x), x.imports, refs, refs.groupBy(*TARGET).agg(F.count(F.lit(1)).alias("import_count")))
 
@@ -45,7 +45,7 @@ def update(old: IndexState, changed: DataFrame, removed: DataFrame) -> IndexStat
     again for all files, as a new or lost file changes what others' imports mean; only changed files are parsed."""
     gone = changed.select("file_id").unionByName(removed.select("file_id")).distinct()
     kept = lambda df: df.join(gone, "file_id", "left_anti")
-    x = code.extract(changed)
+    x = code.extract(changed, "import", "entry")
     files = kept(old.files).unionByName(x.files)
     entries = kept(old.entries).unionByName(fixing.index_of_files(x.files, x))
     imports = kept(old.imports).unionByName(x.imports)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import code, fixing, incremental, terms
-from codeloom.session import table, written
+from codeloom.operators import code, fixing, incremental
+from codeloom.session import table
 from codeloom.sources import files as source_files
 
 
@@ -56,13 +56,11 @@ def code_imports(spark, d):
 
 
 def code_missing_symbols(spark, d):
-    x = code.extract(_rooted(spark, d))
-    return code.missing_symbols(x.uses, code.resolved_imports(x.imports, x.files), x.exports).select("file_id", "symbol", F.size("contexts").alias("n_contexts"))
+    return code.missing_of(code.extract(_rooted(spark, d), "import", "export", "gap")).select("file_id", "symbol", F.size("contexts").alias("n_contexts"))
 
 
 def code_unused_imports(spark, d):
-    x = code.extract(_files(spark, d))
-    return code.unused_imports(x.imports, x.uses).select("file_id", "kind", "module", "value", "bound")
+    return code.unused_of(code.extract(_files(spark, d), "import")).select("file_id", "kind", "module", "value", "bound")
 
 
 def code_contexts(spark, d):
@@ -91,7 +89,7 @@ def code_exports(spark, d):
 
 
 def code_name_counts(spark, d):
-    return terms.counted(code.name_tokens(_files(spark, d)))
+    return code.name_counts(_files(spark, d))
 
 
 def code_values(spark, d):
@@ -109,22 +107,21 @@ def code_statistics(spark, d):
     return code.definitions(f).join(lines, ["file_id", "lineno"]).select("path", "symbol_type", "name", F.concat_ws(".", F.when(F.col("scope") != "", F.col("scope")), "name").alias("complete_name"), "lineno", F.trim("code").alias("code"))
 
 
-def _index(spark, d):
-    f = _rooted(spark, d)
-    x = code.extract(f)
-    resolved = written(code.resolved_imports(x.imports, x.files), "resolved-imports")
-    return f, x, resolved, fixing.with_import_counts(fixing.index_of_files(x.files, x), resolved)
+def _index(f, x):
+    return fixing.with_import_counts(fixing.index_of_files(f, x), code.resolved_imports(x.imports, x.files))
 
 
 def code_index(spark, d):
-    index = _index(spark, d)[-1]
+    f = _rooted(spark, d)
+    index = _index(f, code.extract(f, "import", "entry"))
     return index.select("symbol_name", F.col("module_key.id").alias("module_id"), "is_module_itself", "symbol_type", "import_count")
 
 
 def code_fix_imports(spark, d):
     """Missing names of every file against the index of all of them: new sources and their number of edits."""
-    f, x, resolved, index = _index(spark, d)
-    return fixing.fix_files(f, index, x, resolved, location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
+    f = _rooted(spark, d)
+    x = code.extract(f, "import", "export", "gap", "entry")
+    return fixing.fix_files(f, _index(f, x), x, location="/srv/code/").select("file_id", "path", "new_source", F.size("edits").alias("n_edits"), "error")
 
 
 def code_first_class(spark, d):

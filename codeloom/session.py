@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one of this machine."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset a local session takes a temporary folder of this machine; on
+    a cluster, whose executors would not see it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -28,16 +34,37 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/codeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Removes all the application has written to the shared folder; results that were not saved elsewhere cannot be read after."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/codeloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{work_root(spark)}/codeloom/{spark.sparkContext.applicationId}")
+
+
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes to the shared folder inside the block is removed at its end, however it ends."""
+    outer, _scratch.folders = getattr(_scratch, "folders", None), []
+    try:
+        yield
+    finally:
+        for folder in _scratch.folders:
+            _remove(spark, folder)
+        _scratch.folders = outer
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """The rows of df, computed once and read back from the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
+    if (held := getattr(_scratch, "folders", None)) is not None:
+        held.append(path)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codeloom import schemas
 from codeloom.operators import fixing
+from codeloom.session import scratch
 
+#: The commands, the answer about them and the texts of failures are fixed by the protocol.
 COMMANDS = ("get_capabilities", "fix_code_in_file")
 CAPABILITIES = (
     '{"fix_code_in_file":{"version":0.1,"inputs":["source","filename"],"outputs":["replacements","inserts","deletions"]},'
@@ -52,12 +54,13 @@ def serve(lines: DataFrame, index: DataFrame, out: str, checkpoint: str, once: b
     replaces what it wrote before, and no bad request stops the service."""
 
     def batch(rows: DataFrame, n: int) -> None:
-        done = answers(rows, index).persist()
-        try:
-            for name, ok in (("ok", 0), ("failed", 1)):
-                done.filter(F.col("result_code") == ok).select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/{name}/batch={n}")
-        finally:
-            done.unpersist()
+        with scratch(rows.sparkSession):  # what a batch needs on its way is gone with it
+            done = answers(rows, index).persist()
+            try:
+                for name, ok in (("ok", 0), ("failed", 1)):
+                    done.filter(F.col("result_code") == ok).select(F.col("response").alias("value")).write.mode("overwrite").text(f"{out}/{name}/batch={n}")
+            finally:
+                done.unpersist()
 
     w = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 second")).start()

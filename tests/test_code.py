@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom import schemas
+from codeloom import schemas, session
 from codeloom.functions import udtf
 from codeloom.operators import code, fixing, incremental, symbols
 from codeloom.sources import files as source_files
@@ -142,10 +142,11 @@ def test_nearest_against_all_pairs(spark):
     path = lambda: "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) + f"/{rng.choice('xyz')}.py"
     files = {n: path() for n in range(60)}
     candidates = sorted({(rng.choice("fg"), rng.choice([3, 3, 3, 0]), path()) for _ in range(40)})
-    ways = spark.createDataFrame([(n, s, []) for n in files for s in "fgh"], "file_id bigint, symbol string, contexts array<string>")
-    best = spark.createDataFrame([(s, [], (t, p if t else "mod" + p), False) for s, t, p in candidates], "symbol string, contexts array<string>, module_key struct<module_source_type:int,id:string>, is_module_itself boolean")
-    f = spark.createDataFrame(list(files.items()), "file_id bigint, path string")
-    got = {(r["file_id"], r["symbol"]): (r["distance"], r["n_best"], r["winner"] and r["winner"]["module_key"]["id"]) for r in fixing.nearest(ways, f, best).collect()}
+    ways = spark.createDataFrame([(n, p, s, []) for n, p in files.items() for s in "fgh"], "file_id bigint, path string, symbol string, contexts array<string>")
+    # the entries of a symbol lie in two classes
+    entries = spark.createDataFrame([(2 * ord(s) + k % 2, (t, p if t else "mod" + p), False) for k, (s, t, p) in enumerate(candidates)], "class_id bigint, module_key struct<module_source_type:int,id:string>, is_module_itself boolean")
+    best = spark.createDataFrame([(s, [], 2 * ord(s) + k) for s in "fg" for k in (0, 1)], "symbol string, contexts array<string>, class_id bigint")
+    got = {(r["file_id"], r["symbol"]): (r["distance"], r["n_best"], r["winner"] and r["winner"]["module_key"]["id"]) for r in fixing.nearest(ways, best, entries).collect()}
     want = {}
     for n, p in files.items():
         for s in "fg":
@@ -235,8 +236,11 @@ def test_service(spark, project, tmp_path):
     service.serve(stream, index, f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination(180)
     assert spark.read.text(f"{tmp_path}/out/ok").count() == 2 and spark.read.text(f"{tmp_path}/out/failed").count() == 2
     (tmp_path / "in" / "b.txt").write_text(lines[4] + "\n")
+    before = session.work_path(spark, "x").rpartition("/")[0].removeprefix("file://")
+    held = set(os.listdir(before))
     service.serve(stream, index, f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination(180)
     assert spark.read.text(f"{tmp_path}/out/failed").count() == 3
+    assert set(os.listdir(before)) == held  # a batch leaves nothing behind
 
 
 def test_term_stream(spark, tmp_path):
