@@ -1,21 +1,24 @@
 """Per-document text statistics, and the documents that are not natural prose.
 
 1. One pass computes the statistics of each document. One of them, the share of its lines that are running text, comes from
-   a small line classifier fitted on labelled documents.
-2. Each statistic gets a mergeable quantile sketch per language, and one over all languages, which serves documents whose
-   language cannot be told or is rare. Values become robust z-scores: distance from the median in spreads of the middle half.
-3. Documents in a tail of any statistic are flagged; the tail of running lines also has every value below one half, however
-   common that is. Of the flagged, those with less than half of their lines running are not prose.
+   a small line classifier: a plain rule on the marks of a line, which a model fitted on labelled documents replaces the
+   more, the more labels there are.
+2. Each statistic gets a mergeable quantile sketch per language, over the documents that are running text for the most part, and one
+   over all languages. A language's quartiles are drawn towards those of all languages, the more, the fewer documents it has.
+3. Values become robust z-scores: distance from the median of the language in spreads of the middle half. A document is flagged, and
+   found, if its score for running lines lies in the lower tail, which begins where one half lies among the documents of
+   all languages. Tails of the other statistics are named beside it.
+
+As the sketches are over running text, how common lists, tables or junk are changes neither medians nor spreads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import textstats
@@ -25,18 +28,18 @@ from codeloom.session import ship, spread, written
 MAX_LABELLED = 2000
 MAX_LABELLED_CHARS = 16 << 20
 MAX_LABELLED_TEXT = 1 << 18
-#: Each kind, prose and other, needs so many labelled documents; with fewer PlainRule decides.
-MIN_LABELLED = 10
+#: The model counts as much as the plain rule where so many documents of the rarer kind, prose or other, are labelled.
+TRUST = 30
 #: Common words are a fixed table; a larger one is refused.
 MAX_COMMON = 100_000
 #: Texts are looked at in pieces of about so many characters, whole documents each.
 CHUNK_CHARS = 1 << 20
-#: A document is flagged if a statistic is so many spreads from the median.
-TAIL_Z = 1.0
-#: A document with a smaller share of running lines is flagged whatever its language's documents are like.
-LEAST_RUNNING = 0.5
-#: A language with fewer documents is held against all languages.
-MIN_LANGUAGE = 200
+#: Values so many spreads from the median are named as tails.
+TAIL_Z = 3.0
+#: Documents of which at least this share of the lines runs are what the sketches are over; where it lies, the tail begins.
+HALF = 0.5
+#: A language of so many documents weighs as much in its quartiles as all languages do.
+SHRINK = 200
 #: Relative error of the sketches' ranks is 1 over this.
 ACCURACY = 1000
 
@@ -55,13 +58,14 @@ class LineModel:
         a, b, c, d = self.weights
         return 1 / (1 + np.exp(-(np.tanh(z @ a + b) @ c + d[0])))
 
-    def running(self, x: textstats.Lines) -> np.ndarray:
-        return self.probability(textstats.line_features(x, self.known)) > 0.5
-
 
 class PlainRule:
-    """Stands in where the labels are too few to teach both kinds. A line is running text if it is mostly words, is no item or row of
-    a table by its marks, goes over into the next line or comes from the one before, and its document uses common words."""
+    """A line is running text if it is mostly words, is no item or row of a table by its marks, goes over into the next line or comes from
+    the one before, and its document uses common words. Lines that begin like a line beside them, or end in a number, are
+    not running where many lines of the document do so."""
+
+    #: Which share of a document's lines is many.
+    MANY = 0.3
 
     def running(self, x: textstats.Lines) -> np.ndarray:
         if not len(x.words):
@@ -73,7 +77,12 @@ class PlainRule:
         marked = (share[:, w["repeated"]] > 0) | (first[:, w["bullet"]] > 0) | (first[:, w["punct"]] > 0)
         capitals = (x.sum_lines(share[:, w["upper"]]) / n_lines > 0.5)[x.doc]
         goes_on = np.append(np.where(capitals[:-1], first[1:, w["alpha"]], first[1:, w["lower"]]) > 0, False)
-        flows = np.append(x.doc[1:] == x.doc[:-1], False) & (last[:, w["terminal"]] == 0) & goes_on
+        same_doc = np.append(x.doc[1:] == x.doc[:-1], False)
+        flows = same_doc & (last[:, w["terminal"]] == 0) & goes_on
+        begin = x.hash[x.code][x.starts]
+        alike = same_doc & np.append((begin[1:] == begin[:-1]) & (first[1:, w["alpha"]] > 0), False)
+        for like in (alike | np.insert(alike[:-1], 0, False), last[:, w["numeric"]] > 0):
+            marked |= like & (x.sum_lines(like.astype(np.float64)) / n_lines > self.MANY)[x.doc]
         out = words & ~marked & (flows | np.insert(flows[:-1], 0, False))
         if x.by_lang.shape[1]:
             of_lang = x.sum_lines(x.sum_words(x.by_lang[x.code]).max(axis=1)) / np.maximum(x.sum_lines(x.words.astype(np.float64)), 1)
@@ -81,11 +90,26 @@ class PlainRule:
         return out
 
 
-def fit_lines(texts: list[str], prose: list[bool], common: dict[str, frozenset[str]], hidden: int = 16, steps: int = 2000, batch: int = 256, rate: float = 3e-3, decay: float = 1e-3) -> LineModel | PlainRule:
+class Lines:
+    """Rule and model together. weight: how much the model counts, from 0 (no labels of one of the kinds) towards 1."""
+
+    def __init__(self, model: LineModel | None, weight: float):
+        self.rule, self.model, self.weight = PlainRule(), model, weight
+
+    def running(self, x: textstats.Lines) -> np.ndarray:
+        by_rule = self.rule.running(x)
+        if self.model is None:
+            return by_rule
+        by_model = self.model.probability(textstats.line_features(x, self.model.known))
+        return (1 - self.weight) * np.where(by_rule, 0.9, 0.1) + self.weight * by_model > 0.5
+
+
+def fit_lines(texts: list[str], prose: list[bool], common: dict[str, frozenset[str]], hidden: int = 16, steps: int = 2000, batch: int = 256, rate: float = 3e-3, decay: float = 1e-3) -> Lines:
     """Every line of a labelled document counts as its document's kind; documents that are one kind mostly outweigh the mixed."""
     x, good = textstats.Lines(pa.array(texts, pa.string()), common), np.array(prose, bool)
-    if min(good.sum(), (~good).sum()) < MIN_LABELLED or not len(x.words):
-        return PlainRule()
+    rarer = int(min(good.sum(), (~good).sum()))
+    if not rarer or not len(x.words):
+        return Lines(None, 0.0)
     pair, _ = textstats.pair_codes(x)
     doc = x.doc[x.line_of_word]
     of_prose = good[doc] & (pair >= 0)
@@ -113,7 +137,8 @@ def fit_lines(texts: list[str], prose: list[bool], common: dict[str, frozenset[s
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return LineModel((known > 0).astype(np.int8), mean.astype(np.float32), spread.astype(np.float32), [p.astype(np.float32) for p in w])
+    model = LineModel((known > 0).astype(np.int8), mean.astype(np.float32), spread.astype(np.float32), [p.astype(np.float32) for p in w])
+    return Lines(model, rarer / (rarer + TRUST))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool]]:
@@ -122,10 +147,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
         labels.filter(F.col("kind").isNotNull()).groupBy("doc_id").agg(F.min("kind").alias("kind"), F.max("kind").alias("other"))
         .filter("kind = other").select("doc_id", (F.col("kind") == "prose").alias("prose"))
     )
-    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.filter(F.length("text") <= MAX_LABELLED_TEXT).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most MAX_LABELLED rows
-    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= MAX_LABELLED_CHARS).orderBy("upto").collect()
+    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)  # at most MAX_LABELLED rows
+    of = docs.select("doc_id", "text", F.length("text").alias("n")).filter(F.col("n") <= MAX_LABELLED_TEXT)
+    sizes = of.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    upto = np.cumsum([r["n"] for r in sizes])
+    ids = [r["doc_id"] for r, end in zip(sizes, upto, strict=True) if end <= MAX_LABELLED_CHARS]
+    few = chosen.filter(F.col("doc_id").isin(ids)) if ids else chosen.limit(0)
+    texts = of.join(F.broadcast(few), "doc_id").groupBy("doc_id", "prose").agg(F.max("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = texts.collect()  # at most MAX_LABELLED_CHARS characters
     return [r["text"] for r in rows], [r["prose"] for r in rows]
 
 
@@ -139,7 +168,7 @@ def common_by_language(common: DataFrame) -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in sorted(out.items())}
 
 
-def _stats(model: LineModel | PlainRule, common: dict[str, frozenset[str]]):
+def _stats(model: Lines, common: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = np.cumsum(b["n"].fill_null(0).to_numpy(zero_copy_only=False))
@@ -171,38 +200,47 @@ def document_statistics(docs: DataFrame, labels: DataFrame, common: DataFrame) -
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:
-    """Quartiles of every statistic by lang, and over all languages in a row whose lang is ''; texts without lines are left out.
-    There is one row for each language of the common words."""
+    """Quartiles of every statistic by lang, and over all languages in a row whose lang is '', of the documents that are running text for
+    the most part. There is one row for each language of the common words."""
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY)).alias(c) for c in SKETCHED]
-    some = stats.filter("n_lines > 0")
-    each = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), *quartiles).filter(F.col("lang").isNotNull() & (F.col("n_docs") >= MIN_LANGUAGE))
-    return each.unionByName(some.agg(F.count(F.lit(1)).alias("n_docs"), *quartiles).select(F.lit("").alias("lang"), "n_docs", *SKETCHED))
+    natural = stats.filter((F.col("n_lines") > 0) & (F.col("running_lines") >= HALF))
+    each = natural.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), *quartiles)
+    return each.unionByName(natural.agg(F.count(F.lit(1)).alias("n_docs"), *quartiles).select(F.lit("").alias("lang"), "n_docs", *SKETCHED))
+
+
+def _centre(quartiles: list[float]) -> tuple[float, float]:
+    """Median and spread; a spread of zero counts as one hundredth."""
+    return quartiles[1], max((quartiles[2] - quartiles[0]) / 1.349, 0.01)
 
 
 def robust_scores(stats: DataFrame) -> DataFrame:
-    """stats with a z-score for each sketched statistic (z_...), z_flagged: in a tail of any of them by its score, and flagged:
-    that or below LEAST_RUNNING. stats must be cheap to read twice. A spread of zero counts as one hundredth. Texts without lines
-    have null scores and no flag."""
+    """stats with a z-score for each sketched statistic (z_...), tails: the statistics at least TAIL_Z spreads from the median, and
+    flagged: running lines in the lower tail. stats must be cheap to read twice. Texts without lines have null scores and no flag. Where no
+    document at all is running text, the median of running lines counts as 1, and the other scores are null."""
     rows = {r["lang"]: r for r in language_sketches(stats).collect()}  # as many rows as languages
     every = rows.pop("")
+    of_all = {c: every[c] or ([1.0] * 3 if c == "running_lines" else None) for c in SKETCHED}
 
     def score(name: str) -> Column:
-        def z(r) -> Column:
-            lo, mid, hi = r[name]
-            return (F.col(name) - F.lit(mid)) / F.lit(max((hi - lo) / 1.349, 0.01))
-
-        if every[name] is None:
+        if of_all[name] is None:
             return F.lit(None).cast("double")
-        out = z(every)
+
+        def z(quartiles: list[float]) -> Column:
+            middle, spread = _centre(quartiles)
+            return (F.col(name) - F.lit(middle)) / F.lit(spread)
+
+        out = z(of_all[name])
         for lang, r in rows.items():
-            out = F.when(F.col("lang") == lang, z(r)).otherwise(out)
+            own = r["n_docs"] / (r["n_docs"] + SHRINK)
+            out = F.when(F.col("lang") == lang, z([own * a + (1 - own) * b for a, b in zip(r[name], of_all[name], strict=True)])).otherwise(out)
         return F.when(F.col("n_lines") > 0, out)
 
     scored = stats.withColumns({f"z_{c}": score(c) for c in SKETCHED})
-    tails = [F.abs(f"z_{c}") >= TAIL_Z for c in SKETCHED]
-    by_score = F.coalesce(reduce(lambda a, b: a | b, tails), F.lit(False))
-    low = (F.col("n_lines") > 0) & (F.col("running_lines") < LEAST_RUNNING)
-    return scored.withColumn("z_flagged", by_score).withColumn("flagged", F.col("z_flagged") | low)
+    middle, spread = _centre(of_all["running_lines"])
+    begins = (HALF - middle) / spread
+    named = F.array_compact(F.array(*[F.when(F.abs(f"z_{c}") >= TAIL_Z, F.lit(c)) for c in SKETCHED]))
+    # one half itself is not in the tail, whatever the last digits of a score are
+    return scored.withColumns({"tails": named, "flagged": F.coalesce(F.col("z_running_lines") < begins - 1e-6 * max(abs(begins), 1.0), F.lit(False))})
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, common: DataFrame) -> DataFrame:
@@ -210,5 +248,5 @@ def scored_documents(docs: DataFrame, labels: DataFrame, common: DataFrame) -> D
 
 
 def not_prose(scored: DataFrame) -> DataFrame:
-    """The flagged documents of which fewer than half of the lines are running text."""
-    return scored.filter(F.col("flagged") & (F.col("running_lines") < LEAST_RUNNING) & (F.col("n_lines") > 0))
+    """The documents whose running lines are in the lower tail of their language."""
+    return scored.filter("flagged")

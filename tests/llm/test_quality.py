@@ -56,7 +56,31 @@ def test_found_where_most_is_not_prose(spark):
     docs = [(n, PROSE if n % 5 == 0 else TABLE, "en", "x") for n in range(200)]
     scored = quality.scored_documents(*_frames(spark, docs, [(n, "prose" if n % 5 == 0 else "table", "r") for n in range(100)]))
     assert sorted(r["doc_id"] for r in quality.not_prose(scored).collect()) == [n for n in range(200) if n % 5]
-    assert scored.filter("flagged AND NOT z_flagged").count() == 160
+    assert scored.filter("flagged AND array_contains(tails, 'running_lines')").count() == 160
+
+
+def test_nothing_is_prose(spark):
+    docs = [(n, TABLE, "en", "x") for n in range(20)] + [(50, None, "en", "x")]
+    scored = quality.scored_documents(*_frames(spark, docs, []))
+    assert sorted(r["doc_id"] for r in quality.not_prose(scored).collect()) == list(range(20))
+    assert all(r["z_common_words"] is None for r in scored.collect())
+
+
+def test_one_half_is_not_in_the_tail_and_scores_are_by_language(spark):
+    rows = [(n, lang, 10, 10, 4.0, 0.1, 0.5, 0.3, running) for n, (lang, running) in enumerate([("en", 1.0)] * 50 + [("en", 0.5), ("en", 0.4), ("de", 0.5), (None, 0.5), (None, 0.49)] + [("de", 0.6 + k / 100) for k in range(40)])]
+    stats = spark.createDataFrame([(i, lang, *r) for i, lang, *r in rows], "doc_id bigint, lang string, n_lines bigint, n_words bigint, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, running_lines double")
+    scored = {r["doc_id"]: r for r in quality.robust_scores(stats).collect()}
+    assert not scored[53]["flagged"] and scored[54]["flagged"] and scored[51]["flagged"]
+    assert scored[50]["z_running_lines"] != scored[52]["z_running_lines"] != scored[53]["z_running_lines"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 40])
+def test_few_labels_count_little(n):
+    texts, kinds = [PROSE] * 60 + [TABLE] * n, [True] * 60 + [False] * n
+    model = quality.fit_lines(texts, kinds, COMMON)
+    assert model.weight == n / (n + quality.TRUST) and (model.model is None) == (n == 0)
+    x = textstats.Lines(pa.array([PROSE, TABLE]), COMMON)
+    assert (x.sum_lines(model.running(x).astype(float)) / np.diff(x.doc_starts) >= 0.5).tolist() == [True, False]
 
 
 def test_no_labels_and_no_documents(spark):
