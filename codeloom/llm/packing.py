@@ -112,7 +112,9 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("own", own).join(offset, ["length", "salt"]).select("doc_id", "piece", "start", "length", (F.col("own") + F.col("offset")).cast("bigint").alias("rank"))
+    # the offsets grow with the corpus, so they are not broadcast; the window has left the rows as this join needs them
+    ranked = salted.withColumn("own", own).join(offset.hint("merge"), ["length", "salt"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("own") + F.col("offset")).cast("bigint").alias("rank"))
     return ranked.mapInArrow(_place(segments), "doc_id bigint, piece bigint, start bigint, length bigint, container_id bigint")
 
 

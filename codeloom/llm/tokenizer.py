@@ -13,17 +13,20 @@ What is shuffled is one row for each distinct word of a block, and the packed po
 from __future__ import annotations
 
 import base64
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import ship, spread, written
 
+#: Where the driver finds the vocabulary; workers get it with the job.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE splits text before its merges; fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,6 +40,23 @@ CACHE_WORDS = 1 << 20
 BLOCKS = "block bigint, doc_ids array<bigint>, ends array<bigint>, codes binary, words array<string>"
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> str:
+    """Sends a vocabulary file along with the application's jobs; the name it has on every worker."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _sent:
+        spark.sparkContext.addFile(vocabulary)
+        _sent.add(key)
+    return os.path.basename(vocabulary)
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def _here(name: str) -> str:
+    """Where a worker has a shipped file."""
+    return SparkFiles.get(name)
+
+
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -117,9 +137,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(ids, ends, parts, vocabulary)
 
 
-def _encode(path: str):
+def _encode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(_here(name))
         for b in batches:
             ids = [enc.encode_ordinary(w) for w in b["word"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["word"], pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
@@ -163,15 +183,15 @@ def encode_corpus(docs: DataFrame, doc_id: Column, text: Column, vocabulary: str
     ship(spark)
     blocks = written(spread(docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(_blocks, BLOCKS), "token-blocks")
     words = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("code", "word"))
-    known = words.select("word").distinct().mapInArrow(_encode(vocabulary), "word string, ids array<int>")
+    known = words.select("word").distinct().mapInArrow(_encode(shipped(spark, vocabulary)), "word string, ids array<int>")
     ids = words.join(known, "word").select("of_block", "code", "ids")
     held = blocks.select("block", "doc_ids", "ends", "codes")
     return held.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
-def _decode(path: str):
+def _decode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {i: b for b, i in ranks(path).items()}
+        by_id = {i: b for b, i in ranks(_here(name)).items()}
         size = max(by_id) + 1
         pieces = [by_id.get(i, b"") for i in range(size)]
         lengths = np.array([len(x) for x in pieces], np.int64)
@@ -191,12 +211,12 @@ def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """doc_id, text from doc_id, ids: each id is looked up in the table of token bytes, which has a fixed size. An empty or null
     list gives the empty text."""
     ship(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(vocabulary), "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(shipped(encoded.sparkSession, vocabulary)), "doc_id bigint, text string")
 
 
-def _count(path: str):
+def _count(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = WordLengths(path)
+        lengths = WordLengths(_here(name))
         get = lengths.__getitem__
         for b in batches:
             n = [sum(map(get, words_of(t))) if (t := x.as_py()) else 0 for x in b["text"]]
@@ -208,4 +228,4 @@ def _count(path: str):
 def count_tokens(docs: DataFrame, doc_id: Column, text: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens of every row, in one pass and without a shuffle; null and empty texts have 0."""
     ship(docs.sparkSession)
-    return spread(docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(_count(vocabulary), "doc_id bigint, n_tokens bigint")
+    return spread(docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(_count(shipped(docs.sparkSession, vocabulary)), "doc_id bigint, n_tokens bigint")

@@ -49,6 +49,14 @@ def test_p3(spark):
         n[r["repo"]][0] += r["n_files"]
         n[r["repo"]][1] += r["n_invalid"]
     assert {k: tuple(v) for k, v in n.items()} == {k: (len(v), len(v & bad)) for k, v in of.items()}
+    # the rates are those of the verdicts, language by language
+    by_verdict = defaultdict(lambda: [0, 0])
+    repo = {r["file_id"]: r["repo"] for r in spark.read.parquet(f"{DATA}/source_files.parquet").select("file_id", "repo").collect()}
+    for r in _run(spark, "p3_verdicts").collect():
+        if r["claimed"] and r["verdict"] != "no_source":
+            by_verdict[repo[r["file_id"]], r["claimed"]][0] += 1
+            by_verdict[repo[r["file_id"]], r["claimed"]][1] += r["verdict"] in ("wrong_extension", "corrupt")
+    assert {(r["repo"], r["language"]): [r["n_files"], r["n_invalid"]] for r in _run(spark, "p3_rates").collect()} == dict(by_verdict)
 
 
 def test_p6(spark):
