@@ -21,6 +21,8 @@ from codeloom.session import ship
 
 #: A split is flushed after so many pairs, which bounds the arrays in a worker.
 FLUSH_PAIRS = 1 << 20
+#: Blocks are cut so that the arrays of one hold about so many keys at most, however many keys there are.
+BLOCK_KEYS = 1 << 20
 PARTIAL = "field int, block int, keys array<string>, n_rows array<bigint>, n_partners array<bigint>, total array<bigint>"
 TOTALS = "field int, key_value string, n_rows bigint, n_partners bigint, total bigint"
 
@@ -82,7 +84,7 @@ def _reduce(t: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([field, keys.cast(pa.string()), *(pa.array(x) for x in sums)], names=["field", "key_value", "n_rows", "n_partners", "total"])
 
 
-def key_totals(rows: DataFrame, row_id: Column, key_a: Column, key_b: Column, weight: Column) -> DataFrame:
+def key_totals(rows: DataFrame, row_id: Column, key_a: Column, key_b: Column, weight: Column, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """For each key of field 0 (key_a) and field 1 (key_b): rows, distinct keys of the other field, and summed weight.
 
     Rows with equal row_id, keys and weight are one row delivered again and count once. A null weight is 0. A null key
@@ -96,7 +98,8 @@ def key_totals(rows: DataFrame, row_id: Column, key_a: Column, key_b: Column, we
         .groupBy("key_a", "key_b")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("weight").alias("total"))
     )
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a row has one key of each field, so this many blocks hold BLOCK_KEYS distinct keys or fewer on average
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows.count() // block_keys))
     return pairs.mapInArrow(_partial(blocks), PARTIAL).groupBy("field", "block").applyInArrow(_reduce, TOTALS)
 
 

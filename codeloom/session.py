@@ -71,12 +71,10 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if its input is so small that a scan would not be cut into as many splits; larger inputs stay where they
-    are read. For work that costs far more than moving its rows."""
-    spark = df.sparkSession
-    cores, least = spark.sparkContext.defaultParallelism, 4 << 20  # the size below which a scan is not cut further
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * least else df
+    """df dealt out over as many partitions as the session's setting spark.codeloom.spread says; where it is unset, rows stay where they are
+    read. To be set where inputs are so small that a scan is not cut into a split for each core."""
+    n = df.sparkSession.conf.get("spark.codeloom.spread", None)
+    return df.repartition(int(n)) if n else df
 
 
 _shipped: set[str] = set()

@@ -109,6 +109,8 @@ def test_key_totals(spark):
             own = [r for r in rows if r[1 + field] == key]
             want[field, key] = (len(own), len({r[2 - field] for r in own}), sum(r[3] or 0 for r in own))
     assert got == want
+    small = keytotals.key_totals(df, F.col("i"), F.col("a"), F.col("b"), F.col("w"), block_keys=3)
+    assert {(x["field"], x["key_value"]): (x["n_rows"], x["n_partners"], x["total"]) for x in small.collect()} == want
     totals = keytotals.key_totals(df, F.col("i"), F.col("a"), F.col("b"), F.col("w"))
     heavy = {(x["field"], x["key_value"]) for x in keytotals.heavy_keys(totals, 2).collect()}
     assert heavy == {k for k, v in want.items() if k[1] is not None and v[0] > 0.02 * len(rows)}
