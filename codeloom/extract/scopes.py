@@ -300,23 +300,24 @@ def defined(body: Iterable[ast.stmt]) -> set[str]:
     return out
 
 
-def closures(tree: ast.Module) -> Iterator[tuple[str, str]]:
-    """(dotted function, name) for the names a function takes from the functions around it."""
+def closures(tree: ast.Module) -> Iterator[tuple[str, str, str]]:
+    """(dotted function, name, dotted function around it) for the names a function takes from the functions around it; classes between
+    two functions hold no names for the inner one."""
     scoper = Scoper()
 
-    def walk(body: Iterable[ast.AST], name: str, around: set[str], inside: bool) -> Iterator[tuple[str, str]]:
+    def walk(body: Iterable[ast.AST], name: str, around: set[str], outer: str | None) -> Iterator[tuple[str, str, str]]:
         for s in body:
             if _is_function(s):
                 full = f"{name}.{s.name}" if name else s.name
-                if inside:
+                if outer is not None:
                     own = {p.arg for p in parameters(s.args)}
                     for x in sorted(set(less(scoper.group(s.body).uses, own)) & around):
-                        yield full, x
+                        yield full, x, outer
                 mine = {p.arg for p in parameters(s.args)} | defined(s.body)
-                yield from walk(s.body, full, around | mine, True)
+                yield from walk(s.body, full, around | mine, full)
             elif isinstance(s, ast.ClassDef):
-                yield from walk(s.body, f"{name}.{s.name}" if name else s.name, around, inside)
+                yield from walk(s.body, f"{name}.{s.name}" if name else s.name, around, outer)
             else:
-                yield from walk(ast.iter_child_nodes(s), name, around, inside)
+                yield from walk(ast.iter_child_nodes(s), name, around, outer)
 
-    yield from walk(tree.body, "", set(), False)
+    yield from walk(tree.body, "", set(), None)

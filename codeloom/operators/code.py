@@ -7,6 +7,7 @@ facts of the statements that do, and a row in parse_failures.
 from __future__ import annotations
 
 import ast
+import re
 import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -33,10 +34,12 @@ USES = "file_id bigint, symbol string, kind string, attribute string, argc int,
 PARAMETERS = "file_id bigint, function string, position int, name string, kind string, hint string, default string"
 REFERENCES = "file_id bigint, name string, resolved string, context string, lineno int"
 STATEMENTS = "file_id bigint, kind string, lineno int, code string"
-CLOSURES = "file_id bigint, function string, symbol string"
+CLOSURES = "file_id bigint, function string, symbol string, around string"
 EXPORTS = "file_id bigint, symbol string"
 TOKENS = "term string, value bigint"
 VALUES = "file_id bigint, name string, n_values int, ambiguous boolean, kinds array<string>, types array<string>, texts array<string>"
+STATISTICS = "file_id bigint, path string, position int, symbol_type int, name string, complete_name string, lineno int, code string"
+MEMBERS = "file_id bigint, owner string, owner_kind string, name string, kind string, type string, value string"
 FAILURES = "file_id bigint, error_kind string, message string, n_skipped_lines int"
 
 #: Rows are handed over in batches of about this many.
@@ -245,6 +248,42 @@ def values(files: DataFrame) -> DataFrame:
     return _facts(files, _values, VALUES)
 
 
+def _members(source: str) -> Iterator[tuple]:
+    def of(owner: str, kind: str, found: dict[str, evaluate.Values]) -> Iterator[tuple]:
+        for name, values in found.items():
+            for v in values:
+                yield owner, kind, name, v.kind, v.type_name(), v.text()
+
+    top = evaluate.evaluate(parsing.parse_tolerant(source)[0])
+    yield from of("", "module", top)
+    for values in top.values():
+        for v in values:
+            if v.kind in ("class", "instance"):
+                yield from of(v.name, v.kind, v.members)
+
+
+def members(files: DataFrame) -> DataFrame:
+    """What modules hold, and the classes and instances they name: owner ('' for the module itself), its kind, the member and a row for each
+    value it may have."""
+    return _facts(files, _members, MEMBERS)
+
+
+def _statistics(source: str, path: str) -> Iterator[tuple]:
+    lines = _LINE_END.split(source)
+    found = sorted(facts.definitions(parsing.parse_tolerant(source)[0]), key=lambda r: r[3])
+    for n, (scope, name, kind, line) in enumerate(found):
+        yield path, n, kind, name, f"{scope}.{name}" if scope else name, line, lines[line].strip(" ")
+
+
+_LINE_END = re.compile(r"\r\n|\r|\n")
+
+
+def statistics(files: DataFrame) -> DataFrame:
+    """Definitions with the line of code that begins them; position is their place in the file, by line."""
+    ship(files.sparkSession)
+    return files.select("file_id", "path", "source").mapInArrow(_rows(_statistics, STATISTICS, ("path",)), STATISTICS)
+
+
 #: What reads a source, by the facts it gives.
 _READERS: dict[str, Callable[..., Iterator[tuple]]] = {
     "definitions, imports, uses, exports": _every, "nodes": _of_tree(facts.nodes), "parameters": _of_tree(facts.parameters), "references": _of_tree(facts.references), "statements": _of_tree(facts.statements), "closures": _of_tree(scopes.closures),
@@ -339,6 +378,28 @@ def unused_of(facts: Facts) -> DataFrame:
     return facts.imports.filter("top_level AND value IS DISTINCT FROM '*' AND NOT used")
 
 
+def follow_imports(found: DataFrame, resolved: DataFrame) -> DataFrame:
+    """found (values), where names that a from-import at the top level binds have the values of what they import, also through modules that only pass a
+    name on. Names of modules that are not known, names that go round in a circle and modules themselves stay as they are.
+
+    A name's way is followed by halves: after n rounds, each of which joins the links with themselves, all ways of up to 2 ** n steps are at their end."""
+    link = resolved.filter("kind = 'from' AND top_level AND value <> '*' AND target_id IS NOT NULL AND NOT is_module")
+    link = link.groupBy("file_id", F.col("bound").alias("name")).agg(F.max(F.struct("lineno", "target_id", "value")).alias("t"))
+    links = written(link.select("file_id", "name", F.col("t.target_id").alias("to_file"), F.col("t.value").alias("to_name")), "import-links")
+    for _ in range(links.count().bit_length()):
+        on = links.select(F.col("file_id").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("next_file"), F.col("to_name").alias("next_name"))
+        step = links.join(on, ["to_file", "to_name"], "left")
+        links = written(step.select("file_id", "name", F.coalesce("next_file", "to_file").alias("to_file"), F.coalesce("next_name", "to_name").alias("to_name"), F.col("next_file").isNotNull().alias("moved")), "import-links")
+        if links.filter("moved").isEmpty():
+            break
+        links = links.drop("moved")
+    plain = [c for c in found.columns if c not in ("file_id", "name")]
+    there = links.join(found.select(F.col("file_id").alias("to_file"), F.col("name").alias("to_name"), F.struct(*plain).alias("there")), ["to_file", "to_name"]).select("file_id", "name", "there")
+    opaque = (F.col("n_values") == 1) & (F.element_at("kinds", 1) == "unknown")
+    both = found.join(there, ["file_id", "name"], "left")
+    return both.select("file_id", "name", *[F.when(opaque & F.col("there").isNotNull(), F.col(f"there.{c}")).otherwise(F.col(c)).alias(c) for c in plain])
+
+
 def merged_contexts(found_uses: DataFrame) -> DataFrame:
     """file_id, symbol, contexts: the ways a name is used; plain uses say nothing once there are others."""
     ctx = F.array_sort(F.collect_set(F.struct("kind", "attribute", "argc")))
@@ -378,5 +439,5 @@ def members_by_kind(found: DataFrame) -> DataFrame:
 
 def new_cells(found: DataFrame) -> DataFrame:
     """Names of a function that functions inside it take from it or through it, without those it takes from outside itself."""
-    outer = found.select("file_id", F.regexp_replace("function", r"\.[^.]*$", "").alias("function"), "symbol").filter(F.col("function") != F.col("symbol"))
+    outer = found.select("file_id", F.col("around").alias("function"), "symbol")
     return outer.distinct().join(found.select("file_id", "function", "symbol"), ["file_id", "function", "symbol"], "left_anti")

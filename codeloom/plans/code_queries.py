@@ -1,4 +1,4 @@
-"""Queries over what is extracted from source files. SQL cannot parse sources, so these have none; tests hold exact values."""
+"""Queries over what is extracted from all source files. SQL cannot parse sources, so these have none; case_queries and tests hold exact values."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import code, fixing, incremental
-from codeloom.session import table
+from codeloom.session import table, written
 from codeloom.sources import files as source_files
 
 
@@ -101,10 +101,18 @@ def code_parse_failures(spark, d):
 
 
 def code_statistics(spark, d):
-    """Definitions with the line of code that begins them."""
-    f = _files(spark, d)
-    lines = f.select("file_id", "path", F.posexplode(F.split("source", r"\r\n|\r|\n")).alias("lineno", "code"))
-    return code.definitions(f).join(lines, ["file_id", "lineno"]).select("path", "symbol_type", "name", F.concat_ws(".", F.when(F.col("scope") != "", F.col("scope")), "name").alias("complete_name"), "lineno", F.trim("code").alias("code"))
+    return code.statistics(_files(spark, d)).drop("file_id")
+
+
+def code_members(spark, d):
+    return code.members(_files(spark, d)).select("file_id", "owner", "owner_kind", "name", "kind", "type")
+
+
+def code_values_across(spark, d):
+    """Values of names, imported ones as their modules have them."""
+    f = _rooted(spark, d)
+    found = code.follow_imports(written(code.values(f), "values"), code.resolved_imports(code.imports(f), f))
+    return found.select("file_id", "name", "n_values", "ambiguous", F.array_join("types", ",", "?").alias("types"))
 
 
 def _index(f, x):
@@ -153,7 +161,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_nodes, code_tree_lines, code_without_functions, code_top_statements, code_node_fields, code_definitions, code_public_members, code_imports, code_missing_symbols, code_unused_imports, code_contexts, code_references, code_parameters,
-        code_statements, code_closures, code_exports, code_name_counts, code_values, code_parse_failures, code_statistics, code_index, code_fix_imports, code_first_class, code_members_by_kind, code_new_cells, code_index_updated, notebook_code,
+        code_statements, code_closures, code_exports, code_name_counts, code_values, code_parse_failures, code_statistics, code_members, code_values_across, code_index, code_fix_imports, code_first_class, code_members_by_kind, code_new_cells, code_index_updated, notebook_code,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "notebook_code": """WITH n AS (SELECT DISTINCT file_id, module_key.id AS path, source FROM source_files WHERE lower(module_key.id) LIKE '%.ipynb')
+        SELECT file_id, CASE WHEN json_valid(source) AND json_type(source, '$.cells') = 'ARRAY' THEN array_to_string(list_transform(list_filter(CAST(json_extract(source, '$.cells') AS JSON[]), lambda c: json_extract_string(c, '$.cell_type') = 'code'),
+          lambda c: CASE WHEN json_type(c, '$.source') = 'ARRAY' THEN array_to_string(CAST(json_extract(c, '$.source') AS VARCHAR[]), '') ELSE coalesce(json_extract_string(c, '$.source'), '') END), chr(10) || chr(10)) END AS code FROM n""",
+}

@@ -45,7 +45,8 @@ def fact_new_cells(spark: SparkSession, d: str) -> DataFrame:
     inner = F.concat_ws(".", "r_name", "n_name", "c_mktsegment")
     taken = (F.col("c_custkey") % 11).cast("string").alias("symbol")
     found = c.select(F.lit(1).cast("bigint").alias("file_id"), inner.alias("function"), taken).unionByName(c.filter("c_custkey % 2 = 0").select(F.lit(1).cast("bigint").alias("file_id"), F.concat_ws(".", "r_name", "n_name").alias("function"), taken))
-    return code.new_cells(found.distinct()).select("function", "symbol")
+    around = F.regexp_replace("function", r"\.[^.]*$", "")
+    return code.new_cells(found.distinct().withColumn("around", around)).select("function", "symbol")
 
 
 def fact_resolution(spark: SparkSession, d: str) -> DataFrame:

@@ -252,3 +252,41 @@ def test_term_stream(spark, tmp_path):
     df.write.mode("append").parquet(f"{tmp_path}/in")
     indexing.term_deltas(indexing.source_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     assert {tuple(r) for r in indexing.counts(spark, f"{tmp_path}/out").collect()} == {("x", 4), ("y", 2)}
+
+
+def test_a_common_name_with_many_shapes_and_modules(spark, monkeypatch):
+    """What is made on the way grows with modules and shapes, not with their product."""
+    seen = {}
+    monkeypatch.setattr(fixing, "written", lambda df, name: seen.setdefault(name, session.written(df, name)))
+    modules, shapes = 2000, 200
+    index = spark.range(modules).select(
+        F.lit("get").alias("symbol_name"), F.struct(F.lit(3).alias("module_source_type"), F.format_string("/p/d%d/m%d.py", F.col("id") % 50, "id").alias("id")).alias("module_key"), F.lit(False).alias("is_module_itself"),
+        F.lit(0).alias("symbol_type"), F.lit(False).alias("not_yet_found_in_module"), F.lit(False).alias("imported"), F.array(F.lit("a"), F.lit("b")).alias("members"), F.lit(1).cast("bigint").alias("import_count"),
+    )
+    ways = spark.range(shapes).select(F.col("id").alias("file_id"), F.format_string("/p/d%d/u%d.py", F.col("id") % 50, "id").alias("path"), F.lit("get").alias("symbol"), F.array(F.struct(F.lit("call").alias("kind"), F.lit("").alias("attribute"), F.col("id").cast("int").alias("argc"))).alias("contexts"))
+    files = ways.select("file_id", "path")
+    got = fixing.choose_imports(ways, files, index).collect()
+    assert len(got) == shapes and all(r["ambiguous"] and r["n_best"] == modules // 50 and r["distance"] == 1 for r in got)
+    assert seen["best-classes"].count() == shapes and seen["index-classes"].count() == modules
+
+
+def test_values_through_imports(spark):
+    files = source_files.from_strings(spark, {"/p/a.py": "x = 1\ny = 'q'\n", "/p/b.py": "from a import x as z, y\n", "/p/c.py": "from b import z\nfrom b import y as w\n", "/p/d.py": "from c import z, w\nfrom nowhere import v\nfrom d import own\nz2 = 3\n"}).withColumn("root", F.lit("/p"))
+    got = {(r["file_id"], r["name"]): (r["kinds"], r["texts"]) for r in code.follow_imports(code.values(files), code.resolved_imports(code.imports(files), files)).collect()}
+    assert got[3, "z"] == (["native"], ["1"]) and got[3, "w"] == (["native"], ["'q'"]) and got[2, "z"] == got[1, "z"] == got[0, "x"]
+    assert got[3, "v"] == (["unknown"], [None]) and got[3, "own"] == (["unknown"], [None]) and got[3, "z2"] == (["native"], ["3"])
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)  # noqa: N815
+
+    class Session:
+        conf, sparkContext = Conf, Context  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_root(Session)

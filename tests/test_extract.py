@@ -48,7 +48,7 @@ def test_exports_and_closures():
     assert scopes.exports(ast.parse("a = 1\n_b = 2\ndef c(): d = 1\nfrom m import *")) == {"a", "c"}
     assert scopes.exports(ast.parse("__all__ = ['x', '_y']\nz = 1")) == {"x", "_y"}
     source = "def f(a):\n    b = 1\n    def g(c):\n        def h():\n            return a, b, c, d\n        return h\n    return g"
-    assert set(scopes.closures(ast.parse(source))) == {("f.g", "a"), ("f.g", "b"), ("f.g.h", "a"), ("f.g.h", "b"), ("f.g.h", "c")}
+    assert set(scopes.closures(ast.parse(source))) == {("f.g", "a", "f"), ("f.g", "b", "f"), ("f.g.h", "a", "f.g"), ("f.g.h", "b", "f.g"), ("f.g.h", "c", "f.g")}
 
 
 def test_tolerant_parse_keeps_places():
@@ -234,3 +234,25 @@ def test_types_and_truth():
     v = evaluate.evaluate(ast.parse("import os\nclass A: pass\na = A()\ndef f(): pass\nu = q\nm = 1 if q else 'x'\ns = ...\nb = b'x'\nc = 2j"))
     assert [v[n][0].type_name() for n in ("os", "A", "a", "f", "u", "s", "b", "c")] == ["module", "type", "A", "function", None, "ellipsis", "bytes", "complex"]
     assert evaluate.instance_of(v["m"], "int") is None and evaluate.instance_of(v["b"], "bytes") is True and evaluate.instance_of(v["b"], "int") is False and evaluate.instance_of(v["u"], "int") is None
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("def f(a, b=2, *c, d=4, **e): return (a, b, c, d, e)\nx = f(*(1, 2, 3), **{'d': 5, 'z': 6})", ["(1, 2, (3,), 5, {'z': 6})"]), ("def f(a, b): return b\nx = f(0, *[7])", ["7"]), ("def f(a, b=1): return b\nx = f(0, *q)", ["1", None]),
+        ("def f(a, b=1): return b\nx = f(0, **q)", ["1", None]), ("def f(a, /, b=1): return a\nx = f(5, **q)", ["5"]), ("def f(*a): return a\nx = f(*'ab', 1)", ["('a', 'b', 1)"]), ("class A:\n    def __init__(self, n, m=0): self.n = n\nx = A(*[3]).n", ["3"]),
+    ],
+)
+def test_starred_arguments(source, want):
+    assert [v.text() for v in evaluate.evaluate(ast.parse(source))["x"]] == want
+
+
+def test_long_texts_are_whole():
+    assert evaluate.evaluate(ast.parse(f"x = '{'a' * 5000}'"))["x"][0].text() == f"'{'a' * 5000}'"
+
+
+def test_statements_come_in_the_order_of_the_source():
+    source = "if a:\n    x = 1\nelse:\n    y = 2\ntry:\n    import q\nexcept E:\n    z = 3\nfinally:\n    w = 4\nmatch m:\n    case 1:\n        v = 5\nlast = 6\n"
+    tree = ast.parse(source)
+    lines = [s.lineno for s in scopes.statements(tree.body)]
+    assert lines == sorted(lines) and len(lines) == sum(isinstance(n, ast.stmt) for n in ast.walk(tree))
