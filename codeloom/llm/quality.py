@@ -28,7 +28,8 @@ from codeloom.session import ship, spread, written
 MAX_LABELLED = 2000
 MAX_LABELLED_CHARS = 16 << 20
 MAX_LABELLED_TEXT = 1 << 18
-#: The model counts as much as the plain rule where so many documents of the rarer kind, prose or other, are labelled.
+#: The model counts as much as the plain rule where so many documents of the rarer kind, prose or other, are labelled; its weight to the
+#: rule's is as the squares of their number and this.
 TRUST = 30
 #: Common words are a fixed table; a larger one is refused.
 MAX_COMMON = 100_000
@@ -138,7 +139,7 @@ def fit_lines(texts: list[str], prose: list[bool], common: dict[str, frozenset[s
             v[k] = 0.999 * v[k] + 0.001 * g * g
             w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     model = LineModel((known > 0).astype(np.int8), mean.astype(np.float32), spread.astype(np.float32), [p.astype(np.float32) for p in w])
-    return Lines(model, rarer / (rarer + TRUST))
+    return Lines(model, rarer**2 / (rarer**2 + TRUST**2))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool]]:

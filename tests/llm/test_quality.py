@@ -78,7 +78,7 @@ def test_one_half_is_not_in_the_tail_and_scores_are_by_language(spark):
 def test_few_labels_count_little(n):
     texts, kinds = [PROSE] * 60 + [TABLE] * n, [True] * 60 + [False] * n
     model = quality.fit_lines(texts, kinds, COMMON)
-    assert model.weight == n / (n + quality.TRUST) and (model.model is None) == (n == 0)
+    assert model.weight == n**2 / (n**2 + quality.TRUST**2) and (model.model is None) == (n == 0)
     x = textstats.Lines(pa.array([PROSE, TABLE]), COMMON)
     assert (x.sum_lines(model.running(x).astype(float)) / np.diff(x.doc_starts) >= 0.5).tolist() == [True, False]
 
