@@ -29,20 +29,21 @@ def accumulated(adds: DataFrame) -> DataFrame:
 
 
 def prefixes(terms: DataFrame) -> DataFrame:
-    """prefix, term, value for every prefix of each term, the term itself included. The empty term has none."""
+    """prefix, rest, value for every way to cut each term in two, the prefix not empty. The empty term has none."""
     n = F.explode(F.when(F.length("term") > 0, F.sequence(F.lit(1), F.length("term"))).otherwise(F.array())).alias("n")
-    return terms.select("term", "value", n).select(F.expr("substring(term, 1, n)").alias("prefix"), "term", "value")
+    return terms.select("term", "value", n).select(F.expr("substring(term, 1, n)").alias("prefix"), F.expr("substring(term, n + 1)").alias("rest"), "value")
 
 
 def _best() -> Column:
-    """The order in which terms under a prefix are better: value, then the shorter, then the smaller term."""
-    return F.struct((-F.col("value")).alias("v"), F.length("term").alias("n"), "term")
+    """The order in which terms under a prefix are better: value, then the shorter, then the smaller term. Under one prefix, rests
+    compare as their terms do and are less to carry."""
+    return F.struct((-F.col("value")).alias("v"), F.length("rest").alias("n"), "rest")
 
 
 def best_by_prefix(terms: DataFrame) -> DataFrame:
     """prefix, term, value: the best term under every prefix there is. A minimum, so combined on the map side."""
     best = prefixes(terms).groupBy("prefix").agg(F.min(_best()).alias("b"))
-    return best.select("prefix", F.col("b.term").alias("term"), (-F.col("b.v")).alias("value"))
+    return best.select("prefix", F.concat("prefix", "b.rest").alias("term"), (-F.col("b.v")).alias("value"))
 
 
 def best_under(terms: DataFrame, prefix: str) -> DataFrame:
@@ -90,11 +91,11 @@ def children(paths: DataFrame, directory: str) -> DataFrame:
 def tree(terms: DataFrame) -> DataFrame:
     """The prefix tree as rows: prefix, end_point (a term ends here), value of that term, highest value at or beneath, and the
     next character towards it (null where the best term ends). Every term has its end in it."""
-    at_end = F.col("prefix") == F.col("term")
+    at_end = F.col("rest") == ""
     nodes = prefixes(terms).groupBy("prefix").agg(
         F.max(at_end).alias("end_point"), F.max(F.when(at_end, F.col("value"))).alias("value"), F.max("value").alias("highest"), F.min(_best()).alias("b")
     )
-    step = F.expr("substring(b.term, length(prefix) + 1, 1)")
+    step = F.expr("substring(b.rest, 1, 1)")
     return nodes.select("prefix", "end_point", "value", "highest", F.when(step != "", step).alias("child_char"))
 
 
