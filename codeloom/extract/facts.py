@@ -21,8 +21,19 @@ def _name(node: ast.AST) -> str | None:
     return None
 
 
+def attribute_path(node: ast.Attribute) -> str | None:
+    """'a.b.c' for the attributes of a plain name; null for those of other expressions."""
+    parts: list[str] = []
+    at: ast.expr = node
+    while isinstance(at, ast.Attribute):
+        parts.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *parts[::-1]]) if isinstance(at, ast.Name) else None
+
+
 def nodes(tree: ast.Module) -> Iterator[tuple]:
     """node_id, parent_id, depth, kind, name, complete_name, scope_id, is_expr, four positions, kinds of the nodes above from the top, attrs; in the order of the source.
+    attrs has the plain fields, and path, the whole of a dotted name, at the attribute that ends it.
     A scope is the node of its module, class, function or lambda."""
     stack: list[tuple[ast.AST, int, tuple[str, ...], str, int]] = [(tree, -1, (), "", 0)]
     n = 0
@@ -33,6 +44,8 @@ def nodes(tree: ast.Module) -> Iterator[tuple]:
         opens = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
         complete = f"{outer}.{name}" if opens and outer else (name if opens else outer)
         attrs = {f: repr(v) for f, v in ast.iter_fields(node) if isinstance(v, (str, int, float, complex, bytes, bool)) and f not in ("lineno", "col_offset", "end_lineno", "end_col_offset")}
+        if isinstance(node, ast.Attribute) and above[-1] != "Attribute" and (path := attribute_path(node)):
+            attrs["path"] = path
         yield me, parent, len(above), type(node).__name__, name, complete or None, scope, isinstance(node, ast.expr), *parsing.span(node), list(above), attrs
         inner = me if opens or isinstance(node, (ast.Module, ast.Lambda)) else scope
         for child in reversed(list(ast.iter_child_nodes(node))):

@@ -135,13 +135,14 @@ def _of_file(path: str, root: str, *_) -> Iterator[tuple]:
 
 def _every(source: str, path: str | None = None, root: str | None = None, wanted: str | None = None) -> Iterator[tuple]:
     """wanted: the names of the facts to give, with commas between; all if it is null."""
-    tree, f, want = parsing.parse_tolerant(source)[0], {"path": path, "root": root}, set(wanted.split(",")) if wanted else set(_FACTS)
+    tree, f, want = parsing.parse_tolerant(source)[0], {"path": path, "root": root}, set(wanted.split(",")) if wanted else {*_FACTS, "used"}
     defined = list(facts.definitions(tree)) if want & {"definition", "entry"} else []
     if "definition" in want:
         for r in defined:
             yield _row(0, 0, r)
     used, gaps = set(), {}
-    if want & {"use", "gap", "import"}:
+    looked = bool(want & {"use", "gap", "used"})
+    if looked:
         for r in facts.uses(tree):
             used.add(r[0])
             if r[4]:
@@ -150,7 +151,7 @@ def _every(source: str, path: str | None = None, root: str | None = None, wanted
                 yield _row(2, 2, r)
     if "import" in want:
         for r in facts.imports(tree):
-            yield _row(1, 1, (*r, r[4] in used), f=f)
+            yield _row(1, 1, (*r, r[4] in used if looked else None), f=f)
     if "export" in want:
         for x in sorted(scopes.exports(tree)):
             yield _row(3, symbol=x)
@@ -171,7 +172,7 @@ def _every(source: str, path: str | None = None, root: str | None = None, wanted
 
 def extract(files: DataFrame, *wanted: str) -> Facts:
     """The facts, or those of the kinds that are wanted ('definition', 'import', 'use', 'export', 'gap', 'entry'), are written once, a folder
-    for each kind. Sources are read in this pass only."""
+    for each kind. Sources are read in this pass only. Whether imports are used is known if 'use', 'gap' or 'used' is wanted too."""
     ship(files.sparkSession)
     root = F.col("root") if "root" in files.columns else F.lit("")
     rows = files.select("file_id", "path", root.alias("root"), "source", F.lit(",".join(wanted) or None).cast("string").alias("wanted"))

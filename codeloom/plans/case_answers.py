@@ -72,6 +72,13 @@ ANSWERS = {
         "'ImportFrom', 'level,module'",
         "'Name', 'id'",
     ),
+    "case_attribute_paths": _rows(
+        "path VARCHAR, lineno INTEGER, name VARCHAR, attribute VARCHAR",
+        "'/c/app/user.py', 4, 'sides', 'c.sides'",
+        "'/c/app/user.py', 4, 'dumps', 'j.dumps'",
+        "'/c/lib/values.py', 17, 'z', 'self.z'",
+        "'/c/lib/values.py', 18, 'get', NULL",
+    ),
     "case_definitions": _rows(
         "scope VARCHAR, name VARCHAR, symbol_type INTEGER, lineno INTEGER, path VARCHAR",
         "'', 'Circle', 0, 2, '/c/app/shapes.py'",

@@ -66,6 +66,11 @@ def case_node_fields(spark, d):
     return n.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
+def case_attribute_paths(spark, d):
+    n = code.nodes(_files(spark)).filter("kind = 'Attribute'")
+    return _named(n, spark).select("path", "lineno", "name", F.try_element_at("attrs", F.lit("path")).alias("attribute"))
+
+
 def case_definitions(spark, d):
     return _named(code.definitions(_files(spark)), spark)
 
@@ -190,7 +195,7 @@ def case_service(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        case_nodes, case_tree_lines, case_top_statements, case_without_functions, case_first_class, case_node_fields, case_definitions, case_statistics, case_members_by_kind, case_members, case_imports, case_missing_symbols, case_unused_imports, case_contexts,
+        case_nodes, case_tree_lines, case_top_statements, case_without_functions, case_first_class, case_node_fields, case_attribute_paths, case_definitions, case_statistics, case_members_by_kind, case_members, case_imports, case_missing_symbols, case_unused_imports, case_contexts,
         case_references, case_parameters, case_statements, case_closures, case_new_cells, case_exports, case_name_counts, case_values, case_values_across, case_parse_failures, case_index, case_index_updated, case_fix_imports, case_service,
     )
 }

@@ -60,7 +60,7 @@ def code_missing_symbols(spark, d):
 
 
 def code_unused_imports(spark, d):
-    return code.unused_of(code.extract(_files(spark, d), "import")).select("file_id", "kind", "module", "value", "bound")
+    return code.unused_of(code.extract(_files(spark, d), "import", "used")).select("file_id", "kind", "module", "value", "bound")
 
 
 def code_contexts(spark, d):
@@ -80,10 +80,6 @@ def code_statements(spark, d):
     return code.statements(_files(spark, d)).groupBy("kind", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def code_closures(spark, d):
-    return code.closures(_files(spark, d))
-
-
 def code_exports(spark, d):
     return code.exports(_files(spark, d)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_files"))
 
@@ -140,10 +136,6 @@ def code_members_by_kind(spark, d):
     return code.members_by_kind(code.definitions(_files(spark, d)))
 
 
-def code_new_cells(spark, d):
-    return code.new_cells(code.closures(_files(spark, d)))
-
-
 def code_index_updated(spark, d):
     """The index of all files, reached by building it without one repository and then adding that."""
     f = _rooted(spark, d)
@@ -161,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_nodes, code_tree_lines, code_without_functions, code_top_statements, code_node_fields, code_definitions, code_public_members, code_imports, code_missing_symbols, code_unused_imports, code_contexts, code_references, code_parameters,
-        code_statements, code_closures, code_exports, code_name_counts, code_values, code_parse_failures, code_statistics, code_members, code_values_across, code_index, code_fix_imports, code_first_class, code_members_by_kind, code_new_cells, code_index_updated, notebook_code,
+        code_statements, code_exports, code_name_counts, code_values, code_parse_failures, code_statistics, code_members, code_values_across, code_index, code_fix_imports, code_first_class, code_members_by_kind, code_index_updated, notebook_code,
     )
 }
 ORACLES = {

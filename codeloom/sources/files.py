@@ -58,8 +58,8 @@ def notebook_code(notebooks: DataFrame, source: Column) -> DataFrame:
 class TreeSource(DataSource):
     """spark.read.format('source_tree').load(root): path, is_dir, mtime below a root, its directories walked in parallel.
 
-    Options: exclude (comma-separated names not entered, default .git), packages_only (true: only directories with an __init__
-    file, below the root), pushdown (true: filters on the start of path keep whole directories from being entered; needs
+    Options: exclude (comma-separated names not entered, default .git), packages_only (true: only directories with an
+    __init__.py, below the root), pushdown (true: filters on the start of path keep whole directories from being entered; needs
     spark.sql.python.filterPushdown.enabled)."""
 
     @classmethod
@@ -86,7 +86,7 @@ class TreeReader(DataSourceReader):
             return False
         if self.prefix and not (path + "/").startswith(self.prefix) and not self.prefix.startswith(path + "/"):
             return False
-        return not self.packages_only or any(os.path.exists(os.path.join(path, x)) for x in ("__init__.py", "__init__.pyi"))
+        return not self.packages_only or os.path.exists(os.path.join(path, "__init__.py"))
 
     def partitions(self) -> list[InputPartition]:
         with os.scandir(self.root) as entries:
