@@ -92,12 +92,17 @@ def _of_tree(fn: Callable) -> Callable[[str], Iterator[tuple]]:
     return lambda source: fn(parsing.parse_tolerant(source)[0])
 
 
+def evenly(rows: DataFrame) -> DataFrame:
+    """Rows with sources dealt out in turn over all tasks, however few bytes they are, as parsing costs far more than moving them. Not by
+    file_id: where an aggregate or join by it lies before, that would be left out and the few bytes drawn together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def python_files(sources: DataFrame, file_id: Column, path: Column, source: Column) -> DataFrame:
     """file_id, path, source of the Python files, each once."""
     rows = sources.select(file_id.alias("file_id"), path.alias("path"), source.alias("source"))
     once = rows.filter(paths.is_python_file(F.lower("path")) & F.col("source").isNotNull()).dropDuplicates(["file_id"])
-    # parsing costs far more than moving the sources, so they are dealt out evenly however few bytes they are
-    return once.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    return evenly(once)
 
 
 @dataclass(frozen=True)

@@ -165,7 +165,7 @@ def apply_imports(files: DataFrame, chosen: DataFrame, unused: DataFrame, locati
     fixes = chosen.filter("winner IS NOT NULL").groupBy("file_id").agg(F.sort_array(F.collect_list(fix)).alias("fixes"))
     gone = unused.groupBy("file_id").agg(F.sort_array(F.collect_set("bound")).alias("unused"))
     rows = files.select("file_id", "path", "source").join(fixes, "file_id", "left").join(gone, "file_id", "left")
-    return rows.mapInArrow(_fix(location), RESULT)
+    return code.evenly(rows).mapInArrow(_fix(location), RESULT)
 
 
 def fix_files(files: DataFrame, index: DataFrame, facts: code.Facts | None = None, location: str = "", remove_unused: bool = True) -> DataFrame:
