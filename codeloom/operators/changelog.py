@@ -101,12 +101,12 @@ class ChangeCapture:
             now = now.withColumn("lo", F.lit(0))
         return [r.asDict() for r in now.orderBy("mtime", "uri").limit(self.max_files).collect()]
 
-    def plan(self) -> tuple[int, list[dict]] | None:
-        """The plan to run: one without commit if there is one, else a new one, else None as there is nothing new."""
+    def plan(self) -> tuple[int, list[dict], bool] | None:
+        """The plan to run and whether it is new: one without commit if there is one, else a new one, else None as nothing is new."""
         plans, commits = self._numbers("plans"), set(self._numbers("commits"))
         for n in plans:
             if n not in commits:
-                return n, self._plan(n)
+                return n, self._plan(n), False
         grown = self._grown(plans)
         if not grown:
             return None
@@ -119,24 +119,28 @@ class ChangeCapture:
                 raise ValueError(f"{f['path']} lost rows that were captured")
         n = plans[-1] + 1 if plans else 0
         self.files.write(f"{self.root}/plans/{n:08d}.json", "\n".join(map(json.dumps, grown)))
-        return n, grown
+        return n, grown, True
 
-    def rows(self, plan: list[dict]) -> DataFrame:
-        """The log's rows in the ranges of a plan, with log_part and log_offset."""
+    def rows(self, plan: list[dict], new: bool = False) -> DataFrame:
+        """The log's rows in the ranges of a plan, with log_part and log_offset. Of a new plan, files that come for the first time are
+        read whole: should one have grown in between, its last rows come again with the next batch and count once."""
         log = self.spark.read.parquet(*[f["path"] for f in plan])
         m = F.col("_metadata")
         at = log.select("*", F.xxhash64(m["file_path"]).alias("log_part"), m["row_index"].alias("log_offset"))
+        if new and not any(f["lo"] for f in plan):
+            return at
         ranges = self.spark.createDataFrame([(f["uri"], f["lo"], f["hi"]) for f in plan], "uri string, lo bigint, hi bigint")
         ranges = ranges.select(F.xxhash64("uri").alias("log_part"), "lo", "hi")  # at most max_files rows
         return at.join(F.broadcast(ranges), "log_part").filter("log_offset >= lo AND log_offset < hi").drop("lo", "hi")
 
     def run(self, fail: Callable[[str], None] = lambda step: None) -> int | None:
         """One batch; gives its number, or None if there was nothing new. fail is called after each step (tests raise in it)."""
-        if (todo := self.plan()) is None:
-            return None
-        n, plan = todo
+        todo = self.plan()
+        return None if todo is None else self._batch(*todo, fail)
+
+    def _batch(self, n: int, plan: list[dict], new: bool, fail: Callable[[str], None] = lambda step: None) -> int:
         fail("planned")
-        self._write(self.keep(self.rows(plan)), f"sink/batch={n}")
+        self._write(self.keep(self.rows(plan, new)), f"sink/batch={n}")
         fail("written")
         self.files.write(f"{self.root}/commits/{n:08d}.json", "{}")
         if self.fold and (n + 1) % self.fold_every == 0:
@@ -146,10 +150,13 @@ class ChangeCapture:
         return n
 
     def catch_up(self) -> int:
-        """Runs until nothing is new; gives the number of batches."""
+        """Batches until all is taken that was there at the last listing; gives their number."""
         done = 0
-        while self.run() is not None:
+        while (todo := self.plan()) is not None:
+            self._batch(*todo)
             done += 1
+            if todo[2] and len(todo[1]) < self.max_files:
+                break
         return done
 
     def _write(self, rows: DataFrame, name: str) -> None:

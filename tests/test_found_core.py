@@ -179,6 +179,7 @@ def test_a_run_reads_only_what_is_new(spark, tmp_path):
     plan = cap.plan()[1]
     assert [(f["lo"], f["hi"]) for f in plan] == [(0, 3)]
     assert not set(first) & set(cap.rows(plan).inputFiles())
+    assert cap.rows(plan, new=True).count() == cap.rows(plan).count() == 3
     cap.run()
     assert len(_ids(cap)) == 103
 
